@@ -107,7 +107,7 @@ class LineRuns:
         return rows.select("a.row", n.cast("long").alias("n_lines"), F.coalesce(F.size("b.gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
-def file_batches(docs: DataFrame, path: str, batches: int) -> list[DataFrame]:
+def file_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     """A Parquet table as batches of its files, as if they had come one after another."""
     files = sorted(docs.inputFiles())
     n = max(1, min(batches, len(files)))
