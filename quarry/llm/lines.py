@@ -31,21 +31,21 @@ MIN_LENGTH = 1
 
 
 def key_text(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+    """A-Z lower-cased; where all characters are ASCII the faster lower() does the same."""
+    k = F.btrim(line, F.lit(SPACE))
+    return F.when(F.length(k) == F.octet_length(k), F.lower(k)).otherwise(F.translate(k, UPPER, LOWER))
 
 
 def hash128(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _hashed(key: Column) -> list[Column]:
+    return [h.alias(n) for h, n in zip(hash128(key), ("h1", "h2"), strict=True)]
 
 
-def key_hash(line: Column, min_length: int) -> Column:
-    """struct(h1, h2), null for keys that are too short."""
-    k = key_text(line)
-    return F.when(F.length(k) >= min_length, F.struct(*[h.alias(n) for h, n in zip(hash128(k), ("h1", "h2"), strict=True)]))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 class LineRuns:
@@ -72,8 +72,8 @@ class LineRuns:
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """One batch: count its keys, leave out those already known to be frequent, add the rest as a run."""
-        keys = F.array_distinct(F.transform(lines_of(F.col(text)), lambda x: key_hash(x, self.min_length)))
-        counts = docs.select(F.explode(keys).alias("k")).where("k IS NOT NULL").groupBy("k.h1", "k.h2").agg(F.count("*").alias("n"))
+        keys = docs.select(F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), key_text))).alias("k")).where(F.length("k") >= self.min_length)
+        counts = keys.select(*_hashed(F.col("k"))).groupBy("h1", "h2").agg(F.count("*").alias("n"))
         if self.paths():
             known = self._read(self.paths()).where(F.col("n") >= self.min_docs).select("h1", "h2")
             counts = counts.join(known, ["h1", "h2"], "left_anti")
@@ -96,8 +96,8 @@ class LineRuns:
         whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         id_, t = F.col("row")[doc_id], F.coalesce(F.col("row")[text], F.lit(""))
         keyed = [id_.alias("id"), *[h.alias(n) for h, n in zip(hash128(t), ("t1", "t2"), strict=True)]]
-        lines = whole.select(*keyed, F.posexplode(F.transform(lines_of(t), lambda x: key_hash(x, self.min_length))).alias("pos", "k"))
-        hits = lines.where("k IS NOT NULL").select("id", "t1", "t2", "pos", "k.h1", "k.h2").join(frequent, ["h1", "h2"])
+        lines = whole.select(*keyed, F.posexplode(lines_of(t)).alias("pos", "line")).select("id", "t1", "t2", "pos", key_text(F.col("line")).alias("k"))
+        hits = lines.where(F.length("k") >= self.min_length).select("id", "t1", "t2", "pos", *_hashed(F.col("k"))).join(frequent, ["h1", "h2"])
         gone = hits.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
         rows = whole.select("row", *keyed).alias("a").join(gone.alias("b"), F.expr("a.id <=> b.id AND a.t1 = b.t1 AND a.t2 = b.t2"), "left")
         all_lines = lines_of(F.col("a.row")[text])
