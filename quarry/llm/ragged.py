@@ -45,6 +45,51 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return codes, offsets, distinct
 
 
+_MULTIPLIER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE = np.random.default_rng(29).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        for i, base in enumerate((_MULTIPLIER, _INVERSE)):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def hashed(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word in order, and row offsets (one more than rows).
+
+    Words here are runs of bytes other than ASCII white space.  Hashes are polynomials
+    over the words' bytes, taken as differences of one running sum, so no word becomes
+    a Python object."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if lower:
+        texts = pc.utf8_lower(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[offsets] = True
+    gap = np.concatenate([[True], _IS_SPACE[data], [True]])
+    word = ~gap[1:-1]
+    starts = np.flatnonzero(word & (gap[:-2] | cut[:-1]))
+    ends = np.flatnonzero(word & (gap[2:] | cut[1:])) + 1
+    power, inverse = _power(n)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * power, out=total[1:])
+    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return h, np.searchsorted(starts, offsets)
+
+
 def hashes(distinct: list[str]) -> np.ndarray:
     """64-bit hashes of words."""
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), dtype=np.uint64, count=len(distinct))

@@ -29,10 +29,10 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
         total, rows = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in batches:
             for piece in ragged.pieces(batch):
-                codes, offsets, distinct = ragged.words(piece.column("text"))
+                h, offsets = ragged.hashed(piece.column("text"))
                 row = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
-                b = bucket(ragged.hashes(distinct))
-                pairs = np.unique(row * BUCKETS + b[codes]) if len(codes) else np.zeros(0, dtype=np.int64)
+                pairs = np.sort(row * BUCKETS + bucket(h))
+                pairs = pairs[np.diff(pairs, prepend=-1) > 0]
                 total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
                 rows += piece.num_rows
         at = np.flatnonzero(total)
