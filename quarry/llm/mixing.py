@@ -11,7 +11,7 @@ Defined results: null texts have size 0 and are taken 0 times; a null source is
 a source of its own, the last; an empty table gives no rows; repeated rows take
 separate places on the line; null ids are allowed; other columns are not read.
 Texts are read once, into a written table of sizes; only these small rows are
-shuffled.  Running sums are made inside chunks of bounded size with a prefix
+shuffled (the plan reuses the exchanges that its branches share).  Running sums are made inside chunks of bounded size with a prefix
 over chunk totals, so a source with a third of all rows is many tasks' work.
 """
 
@@ -27,7 +27,7 @@ from .quality import words_of
 
 SHARE, WEIGHTS, CAP = 1.5, (5, 2, 1), 2.0
 SLOTS = 1 << 16
-CHUNK_DOCS = 50_000
+CHUNK_DOCS = 8_000
 CHUNK_SLOTS = 4096
 BINS = 4096
 PHI = 0.6180339887498949
@@ -72,14 +72,12 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     n_blocks = F.ceil(size / F.lit(block)).cast("long")
     rest = F.col("words_due") % size
     due = shares.withColumns({"n_blocks": n_blocks, "need": F.expr("words_due div source_size") * n_blocks + F.ceil(rest / F.lit(block)).cast("long")})
-    due = work.save(due, "mix-due")
     # Points meet the sources by bins of the unit interval, an equality join.
     binned = due.select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * BINS), F.least(F.floor(F.col("high") * BINS), F.lit(BINS - 1).cast("long")))).alias("bin"))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id + 0.5D) * {PHI!r}D - floor((id + 0.5D) * {PHI!r}D)").alias("point"))
     points = points.withColumn("bin", F.floor(F.col("point") * BINS))
     last = F.col("high") >= 1 - 1e-12
     drawn = points.join(binned, "bin").where((F.col("point") >= F.col("low")) & ((F.col("point") < F.col("high")) | last)).select("slot", "sid", F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
-    drawn = work.save(drawn, "mix-drawn")
     per = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     before = per.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     ranked = drawn.join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1).alias("rank"))
@@ -115,7 +113,6 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         F.row_number().over(inside).alias("rn"),
         (F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
     )
-    laid = work.save(laid, "mix-laid")
     takes = schedule(sources, block, n_slots).groupBy("sid", "block").agg(F.count_if(F.col("words") == F.col("full")).alias("times"), F.max(F.when(F.col("words") < F.col("full"), F.col("words"))).alias("part"))
     last = F.expr(f"(start + size - 1) div {block}")
     pieces = laid.where("size > 0").select("sid", "chunk", "rn", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), last)).alias("block"))

@@ -217,7 +217,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network
     ids, grams, ends = features(distinct)
     doc_of = np.repeat(np.arange(len(labels)), np.diff(offsets))
     char_rows, char_flat = [], []
-    for a in range(0, len(codes), 500_000):  # n-grams of each document's words
+    for a in range(0, len(codes), 50_000):  # n-grams of each document's words
         pair = np.unique(doc_of[a : a + 500_000] * len(distinct) + codes[a : a + 500_000])
         d, w = pair // len(distinct), pair % len(distinct)
         n = np.diff(ends)[w]
