@@ -17,6 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import paths
 
@@ -262,7 +263,7 @@ def blocks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return b, given.mapInPandas(run, f"file_id {dict(given.dtypes)['file_id']}, start int, end int, kind string, priority int")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def fingerprint(source: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     """Node types in order of the Python nodes that begin on lines start..end (from 1); null where it does not parse."""
     return pd.Series([None if s is None else _fingerprint(s, a, b) for s, a, b in zip(source, start, end, strict=True)], dtype=object)
