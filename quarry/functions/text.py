@@ -35,15 +35,19 @@ def _is_stop(word: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-cased words without stop words; identifiers add their parts."""
 
+    none = F.array().cast("array<string>")
+
+    def snake(word: Column) -> Column:
+        parts = F.filter(F.split(F.lower(word), "_"), lambda p: (p != "") & ~_is_stop(p))
+        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
+
+    def camel(word: Column) -> Column:
+        parts = F.split(F.regexp_replace(F.regexp_replace(word, CAMEL, "$1 $2"), CAPS, "$1 $2"), " ")
+        return F.concat(F.array(F.lower(word)), F.filter(F.transform(parts, F.lower), lambda p: ~_is_stop(p)))
+
     def of(word: Column) -> Column:
-        low = F.lower(word)
-        snake = F.filter(F.split(low, "_"), lambda p: (p != "") & ~_is_stop(p))
-        camel = F.split(F.regexp_replace(F.regexp_replace(word, CAMEL, "$1 $2"), CAPS, "$1 $2"), " ")
-        none = F.array().cast("array<string>")
-        parts = F.when(F.contains(word, F.lit("_")), F.when(F.size(snake) > 1, snake).otherwise(none)).otherwise(
-            F.when(F.size(camel) > 1, F.filter(F.transform(camel, F.lower), lambda p: ~_is_stop(p))).otherwise(none)
-        )
-        return F.when(_is_stop(low), none).otherwise(F.concat(F.array(low), parts))
+        # Plain words, nearly all, take the last branch; only identifiers with an inner boundary are split.
+        return F.when(_is_stop(F.lower(word)), none).when(F.contains(word, F.lit("_")), snake(word)).when(word.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), camel(word)).otherwise(F.array(F.lower(word)))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of))
 

@@ -106,10 +106,19 @@ def assign_anchors(blocks: DataFrame, anchors: DataFrame, keep: int = 16) -> Dat
     return ranked.where(F.col("rank") <= keep).select("file_id", "block", "start", "end", "kind", "priority", "rank")
 
 
+def gram_set(nodes: Column, n: int = 3) -> Column:
+    """The different n-grams of a node sequence, as 64-bit hashes."""
+    hashed = F.transform(nodes, lambda x: F.xxhash64(x))
+    grams = F.element_at(F.transform(F.array(hashed), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))), 1)
+    return F.when(F.size(nodes) < n, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets; both empty 1, one empty 0."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def similarity(a: Column, b: Column, n: int = 3) -> Column:
     """Jaccard of the sets of n-grams of two node sequences; both without n-grams 1, one 0."""
-    grams = lambda x: F.when(F.size(x) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(x) - (n - 1)), lambda i: F.array_join(F.slice(x, i, n), "|")))
-    )
-    ga, gb = grams(a), grams(b)
-    return F.when((F.size(ga) == 0) & (F.size(gb) == 0), 1.0).when((F.size(ga) == 0) | (F.size(gb) == 0), 0.0).otherwise(F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb)))
+    return jaccard(gram_set(a, n), gram_set(b, n))

@@ -440,9 +440,9 @@ pr AS (SELECT doc_id, x, lead(x) OVER (PARTITION BY source ORDER BY doc_id) AS y
 g AS (SELECT doc_id, {_GRAMS.format('x')} AS ga, {_GRAMS.format('y')} AS gb FROM pr WHERE y IS NOT NULL)
 SELECT doc_id, {sql.round4('CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN 1.0 WHEN len(ga) = 0 OR len(gb) = 0 THEN 0.0 ELSE len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_concat(ga, gb))) END')} AS similarity FROM g""")
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", " ").alias("x"))
+    nodes = table(spark, sf_dir, "documents").select("doc_id", "source", symbols.gram_set(F.split("text", " ")).alias("x"))
     pairs = nodes.withColumn("y", F.lead("x").over(Window.partitionBy("source").orderBy("doc_id"))).where("y IS NOT NULL")
-    return pairs.select("doc_id", T.round4(symbols.similarity(F.col("x"), F.col("y"))).alias("similarity"))
+    return pairs.select("doc_id", T.round4(symbols.jaccard(F.col("x"), F.col("y"))).alias("similarity"))
 
 
 SYMBOLS = [
