@@ -8,6 +8,7 @@ can exceed that bound.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +16,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with texts of about PIECE_BYTES together, or one row."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
+def pieces(batch: pa.RecordBatch, *texts: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `limit` bytes together, or one row."""
+    size = np.cumsum(sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), dtype=np.int64) for c in texts or ("text",)))
     start, n = 0, batch.num_rows
     while start < n:
         base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + PIECE_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
 
+def release() -> None:
+    """Gives memory that a task has used back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """codes of all words in order, row offsets (one more than rows), distinct words."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
