@@ -19,6 +19,7 @@ memory is bounded by one piece of a batch; only a single text can exceed that.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,22 +38,22 @@ GRAMS = (3, 5, 7)
 MAX_POSITIVE, MAX_NEGATIVE = 700, 1400
 #: Embeddings, which start from priors, move at a lower rate.
 STEPS, MIN_EPOCHS, MAX_EPOCHS, BATCH, RATE, EMBEDDING_RATE = 320, 4, 12, 128, 0.01, 0.001
-#: Input rows of so many distinct words are kept between pieces.
-CACHED_WORDS = 400_000
+#: Input rows of so many distinct words are kept between the pieces of a task.
+CACHED_WORDS = 150_000
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def features(distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word bucket, flat n-gram buckets and their offsets for each distinct word."""
-    ids, grams, ends = np.empty(len(distinct), dtype=np.int64), [], [0]
+    ids, grams, ends = np.empty(len(distinct), dtype=np.int32), array("i"), array("q", [0])
     for i, w in enumerate(distinct):
         w = _EDGES.sub("", w)
         ids[i] = xxhash.xxh64_intdigest(w) % WORD_BUCKETS
         marked = f"<{w}>"
-        grams += [xxhash.xxh32_intdigest(marked[k : k + g]) % CHAR_BUCKETS for g in GRAMS for k in range(len(marked) - g + 1)] if w else [0]
+        grams.extend([xxhash.xxh32_intdigest(marked[k : k + g]) % CHAR_BUCKETS for g in GRAMS for k in range(len(marked) - g + 1)] if w else [0])
         ends.append(len(grams))
-    return ids, np.array(grams, dtype=np.int64), np.array(ends, dtype=np.int64)
+    return ids, np.frombuffer(grams, dtype=np.int32) if grams else np.zeros(0, np.int32), np.frombuffer(ends, dtype=np.int64)
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,15 +198,12 @@ class Network:
         return _sigmoid(self.scale * logit.astype(np.float64) + self.shift)
 
 
-def _log_odds(buckets: np.ndarray, rows: np.ndarray, labels: np.ndarray, size: int, smooth: float = 10.0) -> np.ndarray:
-    """Smoothed log-odds of the documents that hold a bucket, against the prior.
+def _log_odds(counts: np.ndarray, share: float, smooth: float = 10.0) -> np.ndarray:
+    """Smoothed log-odds of the documents that hold a bucket, against the prior; counts holds negatives and positives.
 
     Two positives count for nothing: else rare words of the training rows would look toxic in these rows alone."""
-    pairs = np.unique(rows * size + buckets)
-    share = labels.mean()
-    pos = np.bincount(pairs % size, labels[pairs // size], minlength=size)
-    neg = np.bincount(pairs % size, minlength=size) - pos
-    return np.clip(np.log((np.maximum(pos - 2, 0) + smooth * share) / (neg + smooth * (1 - share))) - np.log(share / (1 - share)), -3, 3).astype(np.float32)
+    odds = (np.maximum(counts[1] - 2, 0) + smooth * share) / (counts[0] + smooth * (1 - share))
+    return np.clip(np.log(odds) - np.log(share / (1 - share)), -3, 3).astype(np.float32)
 
 
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network | float:
@@ -215,23 +213,17 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network
         return float(labels.mean()) if len(labels) else 0.5
     codes, offsets, distinct = ragged.words(pa.array(texts, pa.large_string()))
     ids, grams, ends = features(distinct)
-    doc_of = np.repeat(np.arange(len(labels)), np.diff(offsets))
-    char_rows, char_flat = [], []
-    for a in range(0, len(codes), 50_000):  # n-grams of each document's words
-        pair = np.unique(doc_of[a : a + 500_000] * len(distinct) + codes[a : a + 500_000])
-        d, w = pair // len(distinct), pair % len(distinct)
-        n = np.diff(ends)[w]
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[w], n)
-        both = np.unique(np.repeat(d, n) * CHAR_BUCKETS + grams[flat])
-        char_rows.append(both // CHAR_BUCKETS)
-        char_flat.append(both % CHAR_BUCKETS)
-    net = Network.start(
-        _log_odds(ids[codes], doc_of, labels, WORD_BUCKETS),
-        _log_odds(np.concatenate(char_flat or [np.zeros(0, int)]), np.concatenate(char_rows or [np.zeros(0, int)]), labels, CHAR_BUCKETS),
-        seed,
-    )
+    sizes = np.diff(ends)
+    in_words, in_grams = np.zeros((2, WORD_BUCKETS)), np.zeros((2, CHAR_BUCKETS))
+    for d, label in enumerate(labels.astype(int)):  # documents that hold each bucket, by class
+        w = np.unique(codes[offsets[d] : offsets[d + 1]])
+        in_words[label, np.unique(ids[w])] += 1
+        n = sizes[w]
+        in_grams[label, np.unique(grams[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[w], n)])] += 1
+    net = Network.start(_log_odds(in_words, labels.mean()), _log_odds(in_grams, labels.mean()), seed)
     at, row = windows(offsets)
-    win = np.append(codes, len(distinct))[at]
+    win = np.append(codes, len(distinct)).astype(np.int32)[at]
+    del at, codes
     starts = np.flatnonzero(np.diff(row, prepend=-1))
     r = np.random.default_rng(seed)
     # A window first stands by its words' priors, in the second half of the epochs by the network.
@@ -254,7 +246,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network
             used, local = np.unique(win[chosen[pick]], return_inverse=True)
             local = local.reshape(len(pick), WINDOW)
             real = used[used < len(distinct)]
-            n = np.diff(ends)[real]
+            n = sizes[real]
             sub = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[real], n)
             sub_ends = np.concatenate([[0], np.cumsum(n)])
             x = net.inputs(ids[real], grams[sub], sub_ends)
@@ -323,7 +315,7 @@ def _scorer(shared, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for piece in ragged.pieces(batch):
+            for piece in ragged.pieces(batch, limit=2_000_000):
                 texts = piece.column("text")
                 p = np.full(len(texts), model) if isinstance(model, float) else model.probability(model.score_texts(texts))
                 out = {c: piece.column(c) for c in carried or ("doc_id", "held_out")}
@@ -331,5 +323,8 @@ def _scorer(shared, carried: list[str]):
                     out["score"] = pa.array(p)
                 out["predicted"] = pa.array((p >= THRESHOLD).astype(np.int32))
                 yield pa.RecordBatch.from_pydict(out)
+        if not isinstance(model, float):
+            model.known = model.rows = None
+        ragged.release()
 
     return run
