@@ -37,6 +37,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
                 rows += piece.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
+        ragged.release()
 
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = np.asarray(found["bucket"]), np.asarray(found["n"])
