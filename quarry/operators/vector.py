@@ -9,6 +9,7 @@ what is shuffled is tasks x queries x k small rows, whatever the table's size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,9 @@ def _best(block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, op: str = "<=>", min_score: float = 0.05) -> DataFrame:
     """(qid, chunk_id, distance, score, rank) for queries (qid, embedding); chunk ids are numbers."""
     spark = vectors.sparkSession
-    rows = [(r["qid"], r["embedding"]) for r in queries.where("embedding IS NOT NULL").toLocalIterator()]
+    rows = ((r["qid"], r["embedding"]) for r in queries.where("embedding IS NOT NULL").select("qid", "embedding").toLocalIterator())
     out = spark.createDataFrame([], "qid long, chunk_id long, distance double")
-    for start in range(0, len(rows), BLOCK_QUERIES):
-        part = rows[start : start + BLOCK_QUERIES]
+    while part := list(islice(rows, BLOCK_QUERIES)):  # the driver holds one block of queries
         shared = spark.sparkContext.broadcast((np.array([i for i, _ in part]), np.array([v for _, v in part], dtype=np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
