@@ -39,7 +39,7 @@ MAX_POSITIVE, MAX_NEGATIVE = 700, 1400
 #: Embeddings, which start from priors, move at a lower rate.
 STEPS, MIN_EPOCHS, MAX_EPOCHS, BATCH, RATE, EMBEDDING_RATE = 320, 4, 12, 128, 0.01, 0.001
 #: Input rows of so many distinct words are kept between the pieces of a task.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -264,6 +264,8 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network
         x = net.inputs(ids, grams, ends)
         worst = net.score_windows(x, win)
     _calibrate(net, np.maximum.reduceat(worst, starts), labels)
+    del win, state, x, ids, grams, ends, distinct
+    ragged.release()  # the driver has other stages to run
     return net
 
 
@@ -315,7 +317,7 @@ def _scorer(shared, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for piece in ragged.pieces(batch, limit=2_000_000):
+            for piece in ragged.pieces(batch, limit=4_000_000):
                 texts = piece.column("text")
                 p = np.full(len(texts), model) if isinstance(model, float) else model.probability(model.score_texts(texts))
                 out = {c: piece.column(c) for c in carried or ("doc_id", "held_out")}
