@@ -120,4 +120,6 @@ def dedup(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int
     runs = LineRuns(spark, work.new_path(spark, "line-runs"), min_docs, min_length)
     for batch in batches or [docs]:
         runs.add(batch, text)
-    return runs.drop(docs, runs.frequent(), text, doc_id)
+    frequent = runs.frequent()
+    work.remove(spark, runs.root)  # these runs serve this call alone; the frequent keys are written
+    return runs.drop(docs, frequent, text, doc_id)
