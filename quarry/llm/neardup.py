@@ -7,8 +7,8 @@ with equal words are one representative first.  In each band bucket every member
 meets the bucket's least member; the pairs are verified by exact weighted Jaccard
 similarity of the whole texts.  Buckets whose members are then in different
 components go on in rounds: blocks of members are compared sketch by sketch
-inside a task, each member is paired with its PARTNERS next best partners of
-other components, and the pairs are verified; rounds end when fewer than
+inside a task, each member is paired with the next slice of its ranking,
+texts of its own component left out, and the pairs are verified; rounds end when fewer than
 MIN_YIELD of a round's pairs are links.  Classes are the connected components of the verified
 links.  Recall against brute force is measured in the tests and the README.
 
@@ -42,8 +42,8 @@ SAMPLES = BANDS * ROWS
 #: Estimates have a standard deviation of 0.058 at the threshold; below this pairs are not verified.
 SCREEN = 0.6
 BLOCK = 512
-#: Pairs that a member of an open bucket makes in a round.
-PARTNERS = 2
+#: Partners of a member and block in the first round; each later round takes GROWTH times as many, the next in rank.
+PARTNERS, GROWTH = 2, 4
 #: Rounds go on while at least this share of a round's pairs are links.
 MIN_YIELD = 0.001
 #: Ids are broadcast up to this number (8 bytes each), else joined by shuffle.
@@ -196,27 +196,37 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return work.save(joined.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "near-links")
 
 
+def ranks(choice: int) -> tuple[int, int]:
+    """The slice of each ranking that a round takes; the rounds' slices follow each other without a gap."""
+    return tuple(PARTNERS * (GROWTH**k - 1) // (GROWTH - 1) for k in (choice, choice + 1))
+
+
 def screen(rows: pd.DataFrame, choice: int) -> pd.DataFrame:
-    """Of two blocks of a bucket, PARTNERS pairs for each member: with the texts of other components that agree most.
+    """Of two blocks of a bucket, each member's pairs of this round's ranks, with texts of other components.
 
-    choice 0 takes the best, 1 the next, and so on; equal ones go to the text that agrees with more members."""
+    A ranking holds all screened members of the other block, by agreement; equal ones go to the text that agrees with
+    more members.  It depends on the sketches alone, so that what links in between moves no pair out of a later slice."""
+    rows = rows.sort_values("node", kind="stable")
     sketch = np.stack([np.frombuffer(x, dtype=np.uint16) for x in rows["sketch"]])
     block, label, node = rows["block"].to_numpy(), rows["label"].to_numpy(), rows["node"].to_numpy()
     left, right = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
     same = np.zeros((len(left), len(right)), dtype=np.int32)
     for n, x in enumerate(left):
-        same[n] = np.where(label[right] != label[x], (sketch[right] == sketch[x]).sum(axis=1), 0)
+        same[n] = np.where(node[right] != node[x], (sketch[right] == sketch[x]).sum(axis=1), 0)
     same[same < SCREEN * SAMPLES] = 0
-    found = set()
+    first, last = ranks(choice)
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
     for mine, other, agree in ((left, right, same), (right, left, same.T)):
         if not agree.any():
             continue
-        weight = agree.astype(np.float64) + (agree > 0).sum(axis=0) / (len(mine) + 1)
-        order = np.argsort(-weight, axis=1, kind="stable")[:, choice * PARTNERS : (choice + 1) * PARTNERS]
-        for x, y in zip(*np.nonzero(np.take_along_axis(agree, order, axis=1)), strict=True):
-            a, b = node[mine[x]], node[other[order[x, y]]]
-            found.add((min(a, b), max(a, b)))
-    return pd.DataFrame(sorted(found), columns=["b", "a"], dtype="int64")
+        # Below the screen there is no rank: zeros come last.
+        weight = np.where(agree > 0, agree + (agree > 0).sum(axis=0) / (len(mine) + 1), 0)
+        order = np.argsort(-weight, axis=1, kind="stable")[:, first:last]
+        x, y = np.nonzero(np.take_along_axis(agree, order, axis=1))
+        a, b = mine[x], other[order[x, y]]
+        a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+        pairs.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
+    return pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["b", "a"], dtype="int64")
 
 
 def _screener(choice: int) -> Callable[[pd.DataFrame], pd.DataFrame]:

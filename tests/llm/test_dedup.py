@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -97,6 +98,27 @@ def test_long_text_and_large_group(spark):
     assert got[0] == got[1] == 0 and {got[i] for i in range(2, 152)} == {2}
 
 
+def test_every_screened_pair_is_offered_whatever_links_in_between():
+    r = np.random.default_rng(5)
+    n = 90
+    kind = r.integers(1 << 16, size=neardup.SAMPLES, dtype=np.uint16)
+    sketch = np.where(r.random((n, neardup.SAMPLES)) < 0.15, r.integers(1 << 16, size=(n, neardup.SAMPLES), dtype=np.uint16), kind)
+    rows = pd.DataFrame({"node": np.arange(n), "label": np.arange(n), "block": np.arange(n) % 2, "i": 0, "j": 1, "sketch": [x.astype(np.uint16).tobytes() for x in sketch]})
+    agree = (sketch[:, None] == sketch[None]).sum(axis=2)
+    screened = {(x, y) for x in range(n) for y in range(x) if agree[x, y] >= neardup.SCREEN * neardup.SAMPLES and (x - y) % 2}
+    assert len(screened) > 1000
+    offered = set()
+    for choice in range(60):
+        got = neardup.screen(rows, choice)
+        new = set(zip(got["a"], got["b"], strict=True)) - offered
+        offered |= new
+        for a, b in sorted(new)[:4] if choice < 6 else ():  # some of them link
+            label = rows["label"].copy()
+            rows["label"] = label.where(label != label[a], label[b])
+    label = rows["label"]
+    assert all(p in offered or label[p[0]] == label[p[1]] for p in screened)
+
+
 def test_sketch_estimates_similarity():
     r = random.Random(1)
     a = text(r, 3000)
