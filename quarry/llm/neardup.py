@@ -7,9 +7,10 @@ with equal words are one representative first.  In each band bucket every member
 meets the bucket's least member; the pairs are verified by exact weighted Jaccard
 similarity of the whole texts.  Buckets whose members are then in different
 components go on in rounds: blocks of members are compared sketch by sketch
-inside a task, each member is paired with the next slice of its ranking,
-texts of its own component left out, and the pairs are verified; rounds end when fewer than
-MIN_YIELD of a round's pairs are links.  Classes are the connected components of the verified
+inside a task, and each member is paired with the next slice of its ranking of the
+other members; pairs whose texts are in different components by then are verified,
+CHUNK at a time.  The slices grow and end with the ranking, so every screened pair
+of an open bucket is verified or joined by other links.  Classes are the connected components of the verified
 links.  Recall against brute force is measured in the tests and the README.
 
 Defined results: documents without words are copies of each other (null, empty
@@ -18,8 +19,9 @@ least id of a class stands for it; rows with a null id are never linked and have
 a null class; repeated rows share their class, and `accept` keeps one of them;
 an empty table gives no rows; other columns pass through `accept` whatever their
 names.  Groups: only ids, keys and sketches are grouped, aggregated before each
-shuffle; no task collects a bucket, and a bucket of n members makes n - 1 pairs
-at first, not all.
+shuffle; no task collects a bucket; a bucket of n members makes n - 1 pairs at first, and more
+only while it spans components, up to all its screened pairs.  `n_links` counts
+the links that were verified, which are those that joined components.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ SCREEN = 0.6
 BLOCK = 512
 #: Partners of a member and block in the first round; each later round takes GROWTH times as many, the next in rank.
 PARTNERS, GROWTH = 2, 4
-#: Rounds go on while at least this share of a round's pairs are links.
-MIN_YIELD = 0.001
+#: Pairs verified at once; those in one component by then are left out of the next chunk.
+CHUNK = 250_000
 #: Ids are broadcast up to this number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 POOL = 1 << 16
@@ -249,28 +251,35 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     texts = texts_of(tried, docs, text, doc_id)
     found = verify(tried, texts, idf)
     labels = components(found)
-    # Buckets of three or more that still span components, until a round adds hardly a link.
-    shared = work.save(stars.where("n > 2").select("key", "n", "node"), "near-shared")
+    # Buckets of three or more that still span components, until the slices have passed every rank.
+    shared = stars.where("n > 2").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    shared = shared.select("key", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    shared = work.save(shared, "near-shared")
+    longest = shared.groupBy("key", "block").count().agg(F.max("count")).first()[0] or 0
     choice = 0
-    while True:
-        labelled = shared.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
+    while ranks(choice)[0] < longest:
+        labelled = shared.join(labels, "node", "left").select("key", "node", "blocks", "block", F.coalesce("label", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-        rest = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        rest = rest.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        rest = labelled.join(open_keys, "key")
+        rest = rest.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rest = rest.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         rest = rest.join(reps.select("node", "sketch"), "node")
         more = rest.groupBy("key", "i", "j").applyInPandas(_screener(choice), "b long, a long").select("a", "b").distinct()
         more = work.save(more.join(tried, ["a", "b"], "left_anti"), "near-more")
-        if more.isEmpty():
-            break
-        added = verify(more, texts, idf)
-        n_pairs, n_added = more.count(), added.count()
-        if n_added:
-            found, tried, choice = found.unionByName(added), tried.unionByName(more), choice + 1
-            labels = components(found)
-        if n_added < MIN_YIELD * n_pairs or not n_added:
-            break
+        chunks = -(-more.count() // CHUNK)
+        for k in range(chunks):
+            part = more.where(F.pmod(F.xxhash64("a", "b"), F.lit(chunks)) == k)
+            if k:
+                of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))  # noqa: B023, E731
+                part = part.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+            added = verify(part, texts, idf)
+            if not added.isEmpty():
+                found = found.unionByName(added)
+                # The labels are edges that stand for all earlier links.
+                labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(added.select("a", "b")))
+        if chunks:
+            tried = tried.unionByName(more)
+        choice += 1
     return signed, found, labels
 
 

@@ -98,6 +98,20 @@ def test_long_text_and_large_group(spark):
     assert got[0] == got[1] == 0 and {got[i] for i in range(2, 152)} == {2}
 
 
+def test_rounds_go_on_behind_many_pairs_that_are_no_links(spark):
+    r = random.Random(21)
+    base = [f"b{k}" for k in range(300)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(5, 295), 4 + i % 3):
+            w[k] = f"e{i}x{k}"
+        texts.append(" ".join(w))
+    df = docs(spark, texts)
+    idf = np.sqrt(weights.idf(*weights.frequencies(df)))
+    assert {x.doc_id: x.class_id for x in neardup.classify(df).collect()} == classes(texts, idf)
+
+
 def test_every_screened_pair_is_offered_whatever_links_in_between():
     r = np.random.default_rng(5)
     n = 90
