@@ -6,7 +6,9 @@ depend on nearby words alone and any passage of LENGTH + SPREAD words or more
 that two documents share has an anchor, and so a paragraph, in common, wherever
 it stands.  Paragraphs of equal words form a class by hash; other paragraphs
 that collide in a band are joined with the band's least class, verified by exact
-Jaccard similarity of their shingles, and clustered by connected components.
+Jaccard similarity of their shingles, and clustered by connected components; then
+all pairs of a band's classes that are still in different components are verified,
+in blocks of BLOCK classes.
 Of each component the first occurrence (least document id, then place) stays,
 all others are removals; a document's removals merge into spans.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ LENGTH, SPREAD, WIDTH = 22, 28, 5
 THRESHOLD = 0.8
 #: 1 - (1 - 0.8^2)^3 = 0.953 of pairs at the threshold share a band, 0.993 at 0.9.
 BANDS, ROWS = 3, 2
+#: Classes of a band that a task compares with as many others at once, and rows of small bands that it is given together.
+BLOCK, DEAL = 256, 4000
 #: Rows of keys or ids are broadcast up to this number, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 _ODD = np.random.default_rng(41).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,6 +155,29 @@ def shingle_sets(docs: DataFrame, places: DataFrame, text: str, doc_id: str) ->
     return rows.mapInArrow(run, f"ph long, doc_id {dict(rows.dtypes)['doc_id']}, pos int, shingles array<long>")
 
 
+def pairs_of_blocks(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
+    """Of the pairs of two blocks of each band, one link for each two components that have any."""
+    found = set()
+    for _, one in rows.groupby("key", sort=False):
+        left, right = (one[one["block"] == one[x].iloc[0]] for x in ("i", "j"))
+        if not len(left) or not len(right):
+            continue
+        sets = np.stack([*left["shingles"], *right["shingles"]])
+        _, code = np.unique(sets, return_inverse=True)
+        has = np.zeros((len(sets), code.max() + 1), dtype=np.float32)
+        has[np.repeat(np.arange(len(sets)), sets.shape[1]), code.reshape(-1)] = 1
+        size = has.sum(axis=1)
+        both = has[: len(left)] @ has[len(left) :].T
+        share = both / (size[: len(left), None] + size[None, len(left) :] - both)
+        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
+        # Paragraphs that overlap in one document share words without a repeat.
+        near = (left["doc_id"].to_numpy()[:, None] == right["doc_id"].to_numpy()) & (np.abs(left["pos"].to_numpy()[:, None] - right["pos"].to_numpy()) < LENGTH)
+        x, y = np.nonzero((share >= threshold) & (la[:, None] != lb) & ~near)
+        joined = {(min(la[m], lb[n]), max(la[m], lb[n])): (left["ph"].iat[m], right["ph"].iat[n]) for m, n in zip(x, y, strict=True)}
+        found |= {(max(p), min(p)) for p in joined.values()}
+    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+
 def near_links(docs: DataFrame, paras: DataFrame, text: str, doc_id: str, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between classes of different words."""
     banded = paras.select("ph", F.explode("bands").alias("key"))
@@ -165,7 +193,21 @@ def near_links(docs: DataFrame, paras: DataFrame, text: str, doc_id: str, thresh
     # Paragraphs that overlap in one document share words without a repeat.
     apart = (F.col("da") != F.col("db")) | (F.abs(F.col("pa") - F.col("pb")) >= LENGTH)
     share = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return work.save(both.where(apart & (share >= threshold)).select("a", "b"), "paragraph-links")
+    found = work.save(both.where(apart & (share >= threshold)).select("a", "b"), "paragraph-links")
+    labels = components(found)
+    # Bands of three classes or more that still span components.
+    members = banded.join(_small(centres), "key").select("key", "ph").distinct()
+    members = members.join(labels, F.col("ph") == F.col("node"), "left").select("key", "ph", F.coalesce("label", "ph").alias("label"))
+    members = work.save(members, "paragraph-members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 2 AND x <> y")
+    open_ = members.join(sizes.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "key")
+    open_ = work.save(open_.withColumn("block", F.pmod(F.xxhash64("ph"), "blocks").cast("int")), "paragraph-open")
+    deals = max(1, open_.where("blocks = 1").count() // DEAL)
+    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(deals))).otherwise(F.col("key")).alias("deal")
+    rest = open_.select(deal, "key", "ph", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = rest.select("deal", "key", "ph", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = rest.join(sets, "ph").groupBy("deal", "i", "j").applyInPandas(lambda rows: pairs_of_blocks(rows, threshold), "a long, b long")
+    return found.unionByName(work.save(more.distinct(), "paragraph-links"))
 
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

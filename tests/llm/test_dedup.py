@@ -260,6 +260,29 @@ def test_near_paragraphs_are_clustered(spark):
     assert got in ({1: [0]}, {1: [0], 0: [0]})
 
 
+def test_near_paragraphs_against_all_pairs_of_a_band(spark):
+    """In one band A, the least class, is unrelated to B and C, which are near; other bands do not help."""
+    n = substrings.LENGTH
+    r = random.Random(31)
+    base = [f"n{k}" for k in range(n)]
+    texts = [" ".join(f"a{k}" for k in range(n))] + [" ".join([*base[: n - 1], f"end{k}"]) for k in range(2)]
+    for _ in range(6):  # groups with a changed word near either end, and inside
+        g = [f"g{r.randrange(10**6)}" for _ in range(n)]
+        for k in (0, 1, n - 1, n - 2, n // 2):
+            texts.append(" ".join([*g[:k], f"x{r.randrange(10**6)}", *g[k + 1 :]]))
+    h, offsets = ragged.hashed(pa.array(texts))
+    ph, _ = substrings.keys(h, offsets[:-1])
+    order = np.argsort(ph)  # ids: the text of the least class first
+    paras = spark.createDataFrame([(k, 0, int(ph[i]), [7]) for k, i in enumerate(order)], "doc_id long, pos int, ph long, bands array<long>")
+    df = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id long, text string")
+    got = {x.node: x.label for x in components.components(substrings.near_links(df, paras, "text", "doc_id")).collect()}
+    sets = [set(substrings.grams(h)[a : a + n - substrings.WIDTH + 1].tolist()) for a in offsets[:-1]]
+    linked = [(x, y) for x in range(len(texts)) for y in range(x) if len(sets[x] & sets[y]) >= substrings.THRESHOLD * len(sets[x] | sets[y])]
+    assert len(linked) > 6 and (2, 1) in linked
+    assert all(got.get(int(ph[x])) == got.get(int(ph[y])) is not None for x, y in linked)
+    assert set(got) == {int(ph[x]) for p in linked for x in p}
+
+
 def test_anchor_guarantee():
     r = random.Random(6)
     shared = [f"s{r.randrange(10**6)}" for _ in range(substrings.LENGTH + substrings.SPREAD)]
