@@ -10,7 +10,10 @@ Jaccard similarity of their shingles, and clustered by connected components; the
 all pairs of a band's classes that are still in different components are verified,
 in blocks of BLOCK classes.
 Of each component the first occurrence (least document id, then place) stays,
-all others are removals; a document's removals merge into spans.
+all others are removals.  Around every paragraph that occurs again, the LENGTH
+words at every place up to SPREAD words away are compared too, so a passage that
+repeats goes from its first word to its last, gaps between anchors included.  A
+document's removals merge into spans.
 
 Defined results: texts of fewer than LENGTH words, null and empty ones have no
 paragraphs; rows with a null id are not compared; repeated rows are one
@@ -88,18 +91,24 @@ def grams(h: np.ndarray) -> np.ndarray:
     return ragged.mix(out)
 
 
-def keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class (a hash of the paragraph's words) and the band keys of each paragraph."""
+def classes_at(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The class (a hash of the words) of the paragraph at each place."""
     g = grams(h)
-    span = at[:, None] + np.arange(LENGTH - WIDTH + 1)
     every = np.zeros(len(at), np.uint64)
     for k in range(0, LENGTH - WIDTH + 1):
         every = every * np.uint64(0xD6E8FEB86659FD93) + g[at + k]
+    return ragged.mix(every).view(np.int64)
+
+
+def keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class (a hash of the paragraph's words) and the band keys of each paragraph."""
+    g = grams(h)
+    span = at[:, None] + np.arange(LENGTH - WIDTH + 1)
     least = np.stack([ragged.mix(g * odd)[span].min(axis=1) for odd in _ODD], axis=1) if len(at) else np.zeros((0, BANDS * ROWS), np.uint64)
     bands = np.zeros((len(at), BANDS), np.uint64)
     for k in range(ROWS):
         bands = ragged.mix(bands * np.uint64(31) + least[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64))
-    return ragged.mix(every).view(np.int64), bands.view(np.int64)
+    return classes_at(h, at), bands.view(np.int64)
 
 
 def paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -178,6 +187,34 @@ def pairs_of_blocks(rows: pd.DataFrame, threshold: float = THRESHOLD) -> pd.Data
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
+def around(docs: DataFrame, hits: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, pos, ph of the LENGTH words at every place within SPREAD of hits (doc_id, pos)."""
+    at = work.save(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "paragraph-hits")
+    # Repeated rows are one document.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(_small(at), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in ragged.pieces(batch):
+                h, offsets = ragged.hashed(piece.column("text"))
+                places = piece.column("at")
+                n = np.asarray(places.value_lengths(), dtype=np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                first = np.asarray(places.flatten(), dtype=np.int64) + offsets[row]
+                low, high = np.maximum(first - SPREAD, offsets[row]), np.minimum(first + SPREAD, offsets[row + 1] - LENGTH) + 1
+                # A row of a repeated id may be shorter than the one whose places these are.
+                low, high, row = low[high > low], high[high > low], row[high > low]
+                change = np.zeros(len(h) + 1, dtype=np.int64)
+                np.add.at(change, low, 1)
+                np.add.at(change, high, -1)
+                start = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+                own = np.searchsorted(offsets, start, side="right") - 1
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(own)), pa.array((start - offsets[own]).astype(np.int32)), pa.array(classes_at(h, start))], ["doc_id", "pos", "ph"])
+        ragged.release()
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, pos int, ph long")
+
+
 def near_links(docs: DataFrame, paras: DataFrame, text: str, doc_id: str, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between classes of different words."""
     banded = paras.select("ph", F.explode("bands").alias("key"))
@@ -220,13 +257,19 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     joined = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
     kept = grouped.join(joined, "label", "left").select("ph", F.coalesce("least", "first").alias("kept"))
     kept = work.save(kept, "paragraph-kept")
-    gone = paras.select("doc_id", "pos", "ph").join(_small(kept), "ph").where(F.struct("doc_id", "pos") != F.col("kept"))
-    one = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.sort_array(F.collect_set("kept.doc_id")).alias("kept_in"))
+    hits = work.save(paras.select("doc_id", "pos", "ph").join(_small(kept), "ph"), "paragraph-repeats")
+    places = work.save(around(docs, hits.select("doc_id", "pos"), text, doc_id), "paragraph-around")
+    again = places.groupBy("ph").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.max(F.struct("doc_id", "pos")).alias("last")).where("kept <> last").select("ph", "kept")
+    gone = hits.select("doc_id", "pos", "kept").unionByName(places.join(again, "ph").select("doc_id", "pos", "kept")).where(F.struct("doc_id", "pos") != F.col("kept"))
+    # What stays is not cut by its own repeat, where the two overlap.
+    own = F.when(F.col("kept.doc_id") == F.col("doc_id"), F.greatest("pos", F.col("kept.pos") + LENGTH)).otherwise(F.col("pos"))
+    gone = gone.select("doc_id", F.struct(own.cast("int").alias("start"), (F.col("pos") + LENGTH).cast("int").alias("end")).alias("span"), F.col("kept.doc_id").alias("kept_in"))
+    one = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("span")).alias("at"), F.sort_array(F.collect_set("kept_in")).alias("kept_in"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     merge = lambda acc, p: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= p),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (p + LENGTH).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(p.alias("start"), (p + LENGTH).alias("end")))))
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= p["start"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], p["end"]).alias("end")))),
+    ).otherwise(F.concat(acc, F.array(p)))
     spans = one.select("doc_id", "kept_in", F.aggregate("at", empty, merge).alias("spans"))
     return spans.select("doc_id", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"), "kept_in")
 

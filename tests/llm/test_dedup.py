@@ -260,6 +260,21 @@ def test_near_paragraphs_are_clustered(spark):
     assert got in ({1: [0]}, {1: [0], 0: [0]})
 
 
+def test_whole_passages_are_removed(spark):
+    r = random.Random(18)
+    unique = iter(range(10**7))
+    own = lambda n: " ".join(f"u{next(unique)}" for _ in range(n))
+    sizes = (50, 55, 60, 75, 120, 300)
+    passages = [own(n) for n in sizes]
+    texts = [own(r.randrange(30, 90)) + " " + p + " " + own(r.randrange(30, 90)) for p in passages for _ in range(2)]
+    # The first text holds little of a passage that the two after it share.
+    short, long = own(22), [own(50), own(50)]
+    texts += [short] + [own(40) + " " + long[0] + " " + short + " " + long[1] + " " + own(40) for _ in range(2)]
+    got = {x.doc_id: x.n_removed for x in substrings.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {k: got.get(k) for k in range(12)} == {k: sizes[k // 2] if k % 2 else None for k in range(12)}
+    assert got[14] == 122
+
+
 def test_near_paragraphs_against_all_pairs_of_a_band(spark):
     """In one band A, the least class, is unrelated to B and C, which are near; other bands do not help."""
     n = substrings.LENGTH
