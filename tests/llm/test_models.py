@@ -201,6 +201,21 @@ def test_blocks_keep_every_cue():
     assert len(found) == 2 and "license one" in found[0] and "copyright two" in found[1] and "license three" in found[1]
 
 
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randrange(2, 10))) for _ in range(n))
+
+
+def test_notices_in_ordinary_prose():
+    scanner = licenses.Scanner()
+    for name, (wordings, _) in licenses.TEMPLATES.items():
+        for n in (10, 40, 80, 200):
+            for t in wordings:
+                assert name in {x[0] for x in scanner.scan(f"{prose(n, n)} {t}. {prose(n, n + 1)}")}, (name, n, t)
+    many = ["Released under a MIT License", "Licensed under the CC BY-SA 4.0", "Released under the BSD 3-clause licence", "Licensed under the Apache License, version v2.0", "All rights are reserved"]
+    assert len(scanner.scan(". ".join(many))) >= 4
+
+
 # ---- mixing
 
 
