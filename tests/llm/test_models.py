@@ -216,6 +216,19 @@ def test_notices_in_ordinary_prose():
     assert len(scanner.scan(". ".join(many))) >= 4
 
 
+def test_wrapped_notices():
+    import textwrap
+
+    scanner = licenses.Scanner()
+    for name, (wordings, _) in licenses.TEMPLATES.items():
+        for t in wordings:
+            for width, mark in ((76, ""), (30, ""), (60, "# "), (40, " * ")):
+                wrapped = "\n".join(mark + x for x in textwrap.wrap(t, width, break_on_hyphens=False))
+                assert name in {x[0] for x in scanner.scan(f"{prose(8, 1)}\n{wrapped}\n{prose(8, 2)}")}, (name, width, t)
+    gpl = "licensed under the GNU General Public License,\nversion 3.\nCopyright 2024, see section 2"
+    assert [x[0] for x in scanner.scan("This work is " + gpl)] == ["GPL-3.0"]
+
+
 # ---- mixing
 
 
