@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ragged
+from . import ragged, work
 
 LONG = 64
 MARK = "▁"
@@ -180,4 +180,4 @@ def count(docs: DataFrame, model_file: str, limit: int = LIMIT, text: str = "tex
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")
+    return work.map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")

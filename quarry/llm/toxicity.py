@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ragged
+from . import ragged, work
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
@@ -39,7 +39,7 @@ MAX_POSITIVE, MAX_NEGATIVE = 700, 1400
 #: Embeddings, which start from priors, move at a lower rate.
 STEPS, MIN_EPOCHS, MAX_EPOCHS, BATCH, RATE, EMBEDDING_RATE = 320, 4, 12, 128, 0.01, 0.001
 #: Input rows of so many distinct words are kept between the pieces of a task.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -109,11 +109,14 @@ class Network:
         at = np.fromiter((self.known[w] for w in distinct), dtype=np.int64, count=len(distinct))
         return np.concatenate([self.rows[at], np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)])
 
-    def forward(self, x: np.ndarray, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """Logits of windows of codes into x; a code of len(x) - 1 is padding."""
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return np.matmul(x[None], self.p["wx"]) + self.p["b"]
+
+    def forward(self, x: np.ndarray, codes: np.ndarray, keep: bool = False, px: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Logits of windows of codes into x; a code of len(x) - 1 is padding.  px: project(x), if it is known."""
         p, h = self.p, HIDDEN
         n, steps = codes.shape
-        px = np.matmul(x[None], p["wx"]) + p["b"]
+        px = self.project(x) if px is None else px
         pad = codes.T == len(x) - 1
         any_pad = bool(pad.any())
         state = np.zeros((2, n, h), np.float32)
@@ -186,12 +189,12 @@ class Network:
         return np.maximum.reduceat(self.score_windows(x, np.append(codes, len(x) - 1)[at]), np.flatnonzero(np.diff(row, prepend=-1)))
 
     def score_windows(self, x: np.ndarray, codes: np.ndarray, size: int = 2048) -> np.ndarray:
-        out = np.empty(len(codes), np.float32)
+        out, px = np.empty(len(codes), np.float32), self.project(x)
         # Windows with padding go together, so that the others need no masks.
         order = np.argsort(codes[:, -1] == len(x) - 1, kind="stable")
         full = int((codes[:, -1] != len(x) - 1).sum())
         for a, b in [*((k, min(k + size, full)) for k in range(0, full, size)), *((k, min(k + size, len(codes))) for k in range(full, len(codes), size))]:
-            out[order[a:b]] = self.forward(x, codes[order[a:b]])[0]
+            out[order[a:b]] = self.forward(x, codes[order[a:b]], px=px)[0]
         return out
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
@@ -285,13 +288,14 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of the bounded sample; of equal texts the first by id counts."""
+    """Texts and labels of the bounded sample; of equal texts the first by id counts, of the rows of one id the least text."""
     of = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id")))
     one = of.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = one.where("y = 1").orderBy(*by).limit(MAX_POSITIVE).unionByName(one.where("y = 0").orderBy(*by).limit(MAX_NEGATIVE))
-    # At most MAX_POSITIVE + MAX_NEGATIVE rows of two numbers: bounded whatever the input.
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").toArrow().to_pylist()
+    # At most MAX_POSITIVE + MAX_NEGATIVE rows of two numbers, and one text for each: bounded whatever the input repeats.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow().to_pylist()
     first: dict[str | None, tuple] = {}
     for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or "")):
         first.setdefault(r["text"], (r["text"], r["y"]))
@@ -302,27 +306,31 @@ def score(docs: DataFrame, model: Network | float, text: str = "text", doc_id: s
     """doc_id, held_out, score, predicted for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), held_out(F.col(doc_id)).alias("held_out"))
-    return rows.mapInArrow(_scorer(shared, []), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return work.map_arrow(rows, _scorer(shared), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def accept(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = wrapped.schema["row"].dataType.simpleString()
-    return wrapped.mapInArrow(_scorer(shared, ["row"]), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
+    return work.map_arrow(wrapped, _scorer(shared, text), f"row {kind}, predicted int").where("predicted = 0").select("row.*")
+
 
+def _scorer(shared, of_row: str | None = None):
+    """Scores rows of (doc_id, text, held_out), or of a struct `row` with the text in its field of_row."""
 
-def _scorer(shared, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for piece in ragged.pieces(batch, limit=4_000_000):
+            if of_row:
+                row = batch.column("row")
+                # The text is a view of the row's own, so that it crosses to Python once.
+                batch = pa.RecordBatch.from_arrays([row, row.field(row.type.get_field_index(of_row)).cast(pa.string())], ["row", "text"])
+            for piece in ragged.pieces(batch):
                 texts = piece.column("text")
                 p = np.full(len(texts), model) if isinstance(model, float) else model.probability(model.score_texts(texts))
-                out = {c: piece.column(c) for c in carried or ("doc_id", "held_out")}
-                if not carried:
-                    out["score"] = pa.array(p)
+                out = {"row": piece.column("row")} if of_row else {"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": pa.array(p)}
                 out["predicted"] = pa.array((p >= THRESHOLD).astype(np.int32))
                 yield pa.RecordBatch.from_pydict(out)
         if not isinstance(model, float):

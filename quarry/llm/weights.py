@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ragged
+from . import ragged, work
 
 BUCKETS = 1 << 17
 
@@ -39,7 +39,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
         ragged.release()
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = work.map_arrow(docs.select(F.col(text).cast("string").alias("text")), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = np.asarray(found["bucket"]), np.asarray(found["n"])
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[at[at >= 0]] = n[at >= 0]

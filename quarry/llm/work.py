@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch: what a task hands to Python at once.  A single row may be larger.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests on one machine."""
+    """The session's checkpoint folder; one of our own only where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors on other machines need a shared folder")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,3 +39,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a working folder that nothing reads any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with the session's batches held to BATCH_LIMITS, since whole texts pass through."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH_LIMITS.items():
+        now = conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(f, schema)
