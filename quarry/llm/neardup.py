@@ -5,13 +5,12 @@ occurrence weighs the mean damped inverse document frequency of its words,
 counted over the whole corpus.  K consistent weighted samples a document are banded; texts
 with equal words are one representative first.  In each band bucket every member
 meets the bucket's least member; the pairs are verified by exact weighted Jaccard
-similarity of the whole texts.  Buckets whose members are then in different
-components go on in rounds: blocks of members are compared sketch by sketch
-inside a task, and each member is paired with the next slice of its ranking of the
-other members; pairs whose texts are in different components by then are verified,
-CHUNK at a time.  The slices grow and end with the ranking, so every screened pair
-of an open bucket is verified or joined by other links.  Classes are the connected components of the verified
-links.  Recall against brute force is measured in the tests and the README.
+similarity of the whole texts.  Of the buckets whose members are then in different
+components all pairs are compared exactly, inside tasks that hold up to two blocks
+of a bucket, or many small buckets; only links that join components leave a task.
+Classes are the connected components of the verified links, so every pair that
+shares a band and reaches the threshold is in one class.  Recall against brute
+force is measured in the tests and the README.
 
 Defined results: documents without words are copies of each other (null, empty
 and blank texts alike); texts of one to four words link only to equal words; the
@@ -19,9 +18,10 @@ least id of a class stands for it; rows with a null id are never linked and have
 a null class; repeated rows share their class, and `accept` keeps one of them;
 an empty table gives no rows; other columns pass through `accept` whatever their
 names.  Groups: only ids, keys and sketches are grouped, aggregated before each
-shuffle; no task collects a bucket; a bucket of n members makes n - 1 pairs at first, and more
-only while it spans components, up to all its screened pairs.  `n_links` counts
-the links that were verified, which are those that joined components.
+shuffle; a bucket of n members makes n - 1 pairs at first, and while it spans
+components n rows for each of its n / BLOCK_ROWS blocks (one up to BLOCK_ROWS
+members or BLOCK_BYTES of text, so rows grow with n up to there); a task holds two
+blocks at most.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -29,25 +29,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ragged, weights, work
+from . import allpairs, ragged, weights, work
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 #: 1 - (1 - 0.8^4)^12 = 0.998 of pairs at the threshold share a band.
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: Estimates have a standard deviation of 0.058 at the threshold; below this pairs are not verified.
-SCREEN = 0.6
-BLOCK = 512
-#: Partners of a member and block in the first round; each later round takes GROWTH times as many, the next in rank.
-PARTNERS, GROWTH = 2, 4
-#: Pairs verified at once; those in one component by then are left out of the next chunk.
-CHUNK = 250_000
+#: Members and bytes of text of a block of a bucket.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4_000_000
 #: Ids are broadcast up to this number (8 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 POOL = 1 << 16
@@ -111,7 +106,7 @@ def word_key(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sign(docs: DataFrame, idf: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, t1, t2 (the words' 128 bits), bands, sketch."""
+    """doc_id, t1, t2 (the words' 128 bits), size (bytes of text), bands."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +121,18 @@ def sign(docs: DataFrame, idf: np.ndarray, text: str = "text", doc_id: str = "do
                 full = np.diff(starts) > 0
                 ends = np.concatenate([[0], np.cumsum(full)]).astype(np.int32)
                 t1, t2 = word_key(h, offsets)
-                small = np.ascontiguousarray(samples.astype(np.uint16)).view(np.uint8).reshape(-1)
+                size = pc.fill_null(pc.binary_length(piece.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("doc_id"), pa.array(t1), pa.array(t2),
+                        piece.column("doc_id"), pa.array(t1), pa.array(t2), size,
                         pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
-                        pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends * np.int32(2 * SAMPLES)), pa.py_buffer(small)]),
                     ],
-                    ["doc_id", "t1", "t2", "bands", "sketch"],
+                    ["doc_id", "t1", "t2", "size", "bands"],
                 )
         ragged.release()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, t1 long, t2 long, bands array<long>, sketch binary")
+    return work.map_arrow(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, t1 long, t2 long, size long, bands array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -195,44 +189,50 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
         .select("a", "b", "ta", "tb")
     )
     kind = dict(pairs.dtypes)["a"]
-    return work.save(joined.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "near-links")
-
-
-def ranks(choice: int) -> tuple[int, int]:
-    """The slice of each ranking that a round takes; the rounds' slices follow each other without a gap."""
-    return tuple(PARTNERS * (GROWTH**k - 1) // (GROWTH - 1) for k in (choice, choice + 1))
-
-
-def screen(rows: pd.DataFrame, choice: int) -> pd.DataFrame:
-    """Of two blocks of a bucket, each member's pairs of this round's ranks, with texts of other components.
-
-    A ranking holds all screened members of the other block, by agreement; equal ones go to the text that agrees with
-    more members.  It depends on the sketches alone, so that what links in between moves no pair out of a later slice."""
-    rows = rows.sort_values("node", kind="stable")
-    sketch = np.stack([np.frombuffer(x, dtype=np.uint16) for x in rows["sketch"]])
-    block, label, node = rows["block"].to_numpy(), rows["label"].to_numpy(), rows["node"].to_numpy()
-    left, right = np.flatnonzero(block == rows["i"].iloc[0]), np.flatnonzero(block == rows["j"].iloc[0])
-    same = np.zeros((len(left), len(right)), dtype=np.int32)
-    for n, x in enumerate(left):
-        same[n] = np.where(node[right] != node[x], (sketch[right] == sketch[x]).sum(axis=1), 0)
-    same[same < SCREEN * SAMPLES] = 0
-    first, last = ranks(choice)
-    pairs = [np.zeros((0, 2), dtype=np.int64)]
-    for mine, other, agree in ((left, right, same), (right, left, same.T)):
-        if not agree.any():
-            continue
-        # Below the screen there is no rank: zeros come last.
-        weight = np.where(agree > 0, agree + (agree > 0).sum(axis=0) / (len(mine) + 1), 0)
-        order = np.argsort(-weight, axis=1, kind="stable")[:, first:last]
-        x, y = np.nonzero(np.take_along_axis(agree, order, axis=1))
-        a, b = mine[x], other[order[x, y]]
-        a, b = a[label[a] != label[b]], b[label[a] != label[b]]
-        pairs.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
-    return pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["b", "a"], dtype="int64")
-
-
-def _screener(choice: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda rows: screen(rows, choice)
+    return work.save(work.map_arrow(joined, run, f"a {kind}, b {kind}, similarity double"), "near-links")
+
+
+def _linker(shared, threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Links of the bucket blocks that a task holds: of each two components at most one, the others follow from it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, label, block, i, j = (np.asarray(table.column(c)) for c in ("key", "node", "label", "block", "i", "j"))
+        distinct, first, at = np.unique(node, return_index=True, return_inverse=True)
+        texts = pa.RecordBatch.from_arrays([table.column("text").take(pa.array(first)).combine_chunks()], ["text"])
+        parts = [elements(*ragged.hashed(piece.column("text")), shared.value) for piece in ragged.pieces(texts)]
+        s, w = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+        out: dict[tuple[int, int], float] = {}
+        order = np.lexsort((node, key))
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            left, right = rows[block[rows] == i[rows]], rows[block[rows] == j[rows]]
+            if not len(left) or not len(right):
+                continue
+            share = allpairs.similarities(s, w, starts, at[left], at[right])
+            apart = label[left][:, None] != label[right]
+            # Near the threshold single precision does not decide.
+            for x, y in zip(*np.nonzero(apart & (np.abs(share - threshold) < 1e-4)), strict=True):
+                sets = []
+                for n in (at[left[x]], at[right[y]]):
+                    one = np.argsort(s[starts[n] : starts[n + 1]])
+                    sets.append((s[starts[n] : starts[n + 1]][one], w[starts[n] : starts[n + 1]][one]))
+                share[x, y] = 1 if similarity(*sets) >= threshold else 0
+            for x, y in allpairs.joining(apart & (share >= threshold), label[left], label[right]):
+                a, b = int(node[left[x]]), int(node[right[y]])
+                out[max(a, b), min(a, b)] = float(share[x, y])
+        ragged.release()
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64()), pa.array(out.values(), pa.float64())], ["a", "b", "similarity"])
+
+    return run
+
+
+def open_buckets(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, size of the buckets of three or more that span components; buckets of the same members once."""
+    labelled = stars.where("n > 2").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    of = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+    spans = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes"), *of).where("low <> high")
+    once = spans.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"), F.first("bytes").alias("bytes"))
+    return labelled.join(once, "key").select("key", "node", "label", "n", "bytes")
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,57 +240,38 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     # Damped by a root, so that a few rare words cannot outweigh a text that is otherwise the same.
     idf = np.sqrt(weights.idf(*weights.frequencies(docs, text)))
     signed = work.save(sign(docs, idf, text, doc_id), "near-signed")
-    reps = signed.where("doc_id IS NOT NULL").groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = work.save(reps, "near-reps")
-    members = reps.select("node", F.explode("bands").alias("key"))
-    centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    centres = work.save(centres, "near-centres")
+    reps = signed.where("doc_id IS NOT NULL").groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    members = work.save(reps.select("node", "size", F.explode("bands").alias("key")), "near-members")
+    centres = work.save(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "near-centres")
     stars = members.join(centres, "key")
-    tried = work.save(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "near-pairs")
-    # All members of any bucket are in these pairs, so the rounds need no other texts.
-    texts = texts_of(tried, docs, text, doc_id)
-    found = verify(tried, texts, idf)
+    pairs = work.save(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "near-pairs")
+    # All members of any bucket are in these pairs, so the blocks need no other texts.
+    texts = texts_of(pairs, docs, text, doc_id)
+    found = verify(pairs, texts, idf)
     labels = components(found)
-    # Buckets of three or more that still span components, until the slices have passed every rank.
-    shared = stars.where("n > 2").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    shared = shared.select("key", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    shared = work.save(shared, "near-shared")
-    longest = shared.groupBy("key", "block").count().agg(F.max("count")).first()[0] or 0
-    choice = 0
-    while ranks(choice)[0] < longest:
-        labelled = shared.join(labels, "node", "left").select("key", "node", "blocks", "block", F.coalesce("label", "node").alias("label"))
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rest = labelled.join(open_keys, "key")
-        rest = rest.select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rest = rest.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        rest = rest.join(reps.select("node", "sketch"), "node")
-        more = rest.groupBy("key", "i", "j").applyInPandas(_screener(choice), "b long, a long").select("a", "b").distinct()
-        more = work.save(more.join(tried, ["a", "b"], "left_anti"), "near-more")
-        chunks = -(-more.count() // CHUNK)
-        for k in range(chunks):
-            part = more.where(F.pmod(F.xxhash64("a", "b"), F.lit(chunks)) == k)
-            if k:
-                of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))  # noqa: B023, E731
-                part = part.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-            added = verify(part, texts, idf)
-            if not added.isEmpty():
-                found = found.unionByName(added)
-                # The labels are edges that stand for all earlier links.
-                labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(added.select("a", "b")))
-        if chunks:
-            tried = tried.unionByName(more)
-        choice += 1
-    return signed, found, labels
+    rest = work.save(open_buckets(stars, labels), "near-open")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_ROWS)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    deals = max(1, (rest.agg(F.sum(F.col("bytes") / F.col("n"))).first()[0] or 0) // BLOCK_BYTES)
+    rest = rest.select("key", "node", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # Small buckets are dealt out many to a task, large ones by pairs of blocks.
+    small = rest.where("blocks = 1").select("key", "node", "label", "block", F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.xxhash64("key"), F.lit(int(deals))).alias("deal"))
+    large = rest.where("blocks > 1").select("key", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("key").alias("deal"))
+    dealt = small.unionByName(large).join(texts.withColumnRenamed("id", "node"), "node")
+    linker = _linker(docs.sparkSession.sparkContext.broadcast(idf), THRESHOLD)
+    more = work.save(dealt.groupBy("deal", "i", "j").applyInArrow(linker, "a long, b long, similarity double"), "near-links")
+    if not more.isEmpty():
+        # The labels are edges that stand for all earlier links.
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.select("a", "b")))
+    return signed, found.unionByName(more), labels
 
 
 def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, class_id, copies (rows with equal words), n_links (of the representative) for every row."""
-    signed, found, labels = links(docs, text, doc_id)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    """doc_id, class_id, copies (rows with equal words) for every row."""
+    signed, _, labels = links(docs, text, doc_id)
     groups = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    classes = groups.join(labels, "node", "left").join(degree, "node", "left")
-    classes = classes.select("t1", "t2", F.coalesce("label", "node").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copies", "n_links")
+    classes = groups.join(labels, "node", "left").select("t1", "t2", F.coalesce("label", "node").alias("class_id"), "copies")
+    return signed.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copies")
 
 
 def accept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -7,11 +7,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.llm import components, lines, neardup, queries, ragged, substrings, weights, work
+from quarry.llm import allpairs, components, lines, neardup, queries, ragged, substrings, weights, work
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(400)]
@@ -112,25 +111,45 @@ def test_rounds_go_on_behind_many_pairs_that_are_no_links(spark):
     assert {x.doc_id: x.class_id for x in neardup.classify(df).collect()} == classes(texts, idf)
 
 
-def test_every_screened_pair_is_offered_whatever_links_in_between():
-    r = np.random.default_rng(5)
-    n = 90
-    kind = r.integers(1 << 16, size=neardup.SAMPLES, dtype=np.uint16)
-    sketch = np.where(r.random((n, neardup.SAMPLES)) < 0.15, r.integers(1 << 16, size=(n, neardup.SAMPLES), dtype=np.uint16), kind)
-    rows = pd.DataFrame({"node": np.arange(n), "label": np.arange(n), "block": np.arange(n) % 2, "i": 0, "j": 1, "sketch": [x.astype(np.uint16).tobytes() for x in sketch]})
-    agree = (sketch[:, None] == sketch[None]).sum(axis=2)
-    screened = {(x, y) for x in range(n) for y in range(x) if agree[x, y] >= neardup.SCREEN * neardup.SAMPLES and (x - y) % 2}
-    assert len(screened) > 1000
-    offered = set()
-    for choice in range(60):
-        got = neardup.screen(rows, choice)
-        new = set(zip(got["a"], got["b"], strict=True)) - offered
-        offered |= new
-        for a, b in sorted(new)[:4] if choice < 6 else ():  # some of them link
-            label = rows["label"].copy()
-            rows["label"] = label.where(label != label[a], label[b])
-    label = rows["label"]
-    assert all(p in offered or label[p[0]] == label[p[1]] for p in screened)
+def test_blocks_of_a_bucket_against_all_pairs(spark, monkeypatch):
+    """Small blocks, by rows and by bytes, find what one block finds."""
+    r = random.Random(22)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(5, 195), 2 + i % 4):
+            w[k] = f"e{i}x{k}"
+        texts.append(" ".join(w))
+    df = docs(spark, texts)
+    want = classes(texts, np.sqrt(weights.idf(*weights.frequencies(df))))
+    assert 3 < len(set(want.values())) < 140
+    for rows, size in ((16, 8_000_000), (2048, 9_000)):
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+        assert {x.doc_id: x.class_id for x in neardup.classify(df).collect()} == want
+
+
+def test_similarities_of_blocks():
+    r = np.random.default_rng(3)
+    weight = r.random(5000).astype(np.float32) + 0.5
+    sets = [np.unique(r.integers(5000, size=n)) for n in (0, 1, 40, 3000, 4500, 40, 0)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    s = np.concatenate(sets)
+    for left, right in (([0, 2, 4], [1, 3, 6]), (list(range(7)), list(range(7)))):
+        got = allpairs.similarities(s.astype(np.uint64), weight[s], starts, np.array(left), np.array(right))
+        for x, i in enumerate(left):
+            for y, j in enumerate(right):
+                both, either = np.intersect1d(sets[i], sets[j]), np.union1d(sets[i], sets[j])
+                # Elements of one row only are left out of the columns, but not of its weight.
+                want = 1.0 if not len(either) else float(weight[both].sum() / weight[either].sum())
+                assert i == j or abs(got[x, y] - want) < 1e-5
+
+
+def test_joining_links_make_a_forest():
+    hits = np.ones((3, 3), dtype=bool)
+    assert len(allpairs.joining(hits, np.array([1, 2, 3]), np.array([1, 2, 3]))) == 2
+    assert allpairs.joining(~hits, np.array([1, 2, 3]), np.array([1, 2, 3])) == []
 
 
 def test_sketch_estimates_similarity():
