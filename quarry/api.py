@@ -4,6 +4,7 @@ Each takes and returns what a thin HTTP or command-line layer would pass on."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ class Service:
 
     def _chunks(self, store_id: str, project_id: str | None, repo_root: str | None) -> DataFrame:
         rows = filters.scoped(self.store.read(), project_id, repo_root, store_id)
-        return rows.withColumn("chunk_id", F.xxhash64("id"))
+        return rows.withColumn("chunk_id", F.col("id"))
 
     def search(self, store_id: str, query: str, limit: int | None = None, filters_: Mapping[str, str] | None = None, content_type: str | None = None, project_id: str | None = None, repo_root: str | None = None, mode: str = "hybrid", raw: bool = False, metadata: bool = True) -> DataFrame:
         """Result rows of one query; the lexical index of a scope is kept until its store changes."""
@@ -40,12 +41,16 @@ class Service:
             mode = "lexical"
         key = (store_id, project_id, repo_root)
         if mode != "semantic" and key not in self.indexes:
-            self.indexes[key] = lexical.build(lexical.index_text(rows))
+            # Built once and written beside the store; later searches of the scope read it.
+            built = lexical.build(lexical.index_text(rows))
+            self.indexes[key] = built.write(f"{self.store.path}.index-{uuid.uuid4().hex}")
+            built.release()
         out = hybrid.search(rows, asked, self.config, {k: v for k, v in chosen.items() if v is not None}, limit, self.indexes.get(key), self.rerank, mode)
         return hybrid.shape(out, self.config, raw, metadata).orderBy("rank")
 
     def invalidate(self, store_id: str) -> None:
-        self.indexes = {k: v for k, v in self.indexes.items() if k[0] != store_id}
+        for key in [k for k in self.indexes if k[0] == store_id]:
+            self.store.remove(self.indexes.pop(key).path)
 
     # ---- changes
 

@@ -32,24 +32,27 @@ def _is_stop(word: Column) -> Column:
     return word.isin(*STOP_WORDS)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased words without stop words; identifiers add their parts."""
+def tokens_of_word(word: Column) -> Column:
+    """Lower-cased word, unless it is a stop word; an identifier adds its parts.
 
+    Plain words, nearly all, take the last branch, which compiles; only identifiers
+    with an inner boundary are split by lambdas."""
     none = F.array().cast("array<string>")
+    low = F.lower(word)
+    snake = F.filter(F.split(low, "_"), lambda p: (p != "") & ~_is_stop(p))
+    snake = F.when(F.size(snake) > 1, F.concat(F.array(low), snake)).otherwise(F.array(low))
+    camel = F.split(F.regexp_replace(F.regexp_replace(word, CAMEL, "$1 $2"), CAPS, "$1 $2"), " ")
+    camel = F.concat(F.array(low), F.filter(F.transform(camel, F.lower), lambda p: ~_is_stop(p)))
+    return F.when(_is_stop(low), none).when(F.contains(word, F.lit("_")), snake).when(word.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), camel).otherwise(F.array(low))
 
-    def snake(word: Column) -> Column:
-        parts = F.filter(F.split(F.lower(word), "_"), lambda p: (p != "") & ~_is_stop(p))
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
 
-    def camel(word: Column) -> Column:
-        parts = F.split(F.regexp_replace(F.regexp_replace(word, CAMEL, "$1 $2"), CAPS, "$1 $2"), " ")
-        return F.concat(F.array(F.lower(word)), F.filter(F.transform(parts, F.lower), lambda p: ~_is_stop(p)))
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
-    def of(word: Column) -> Column:
-        # Plain words, nearly all, take the last branch; only identifiers with an inner boundary are split.
-        return F.when(_is_stop(F.lower(word)), none).when(F.contains(word, F.lit("_")), snake(word)).when(word.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), camel(word)).otherwise(F.array(F.lower(word)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of))
+def tokens(text: Column) -> Column:
+    """The tokens of a text as one array; for whole corpora, exploding words first is faster (see lexical.build)."""
+    return F.flatten(F.transform(words(text), tokens_of_word))
 
 
 def expand_identifiers(query: Column) -> Column:

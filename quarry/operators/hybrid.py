@@ -65,12 +65,13 @@ def code_warning(content: Column, content_type: Column, config: Config) -> Colum
 
 
 def shape(candidates: DataFrame, config: Config, raw: bool = False, metadata: bool = True) -> DataFrame:
-    """Result rows: qid, rank, id, score, source, content, and on request raw content and metadata."""
+    """Result rows: qid, rank, id, score, source, content, symbol and lines (null where unknown), and on request raw content and metadata."""
     out = candidates.select(
         "qid", F.col("pos").alias("rank"), F.col("chunk_id").alias("id"), T.round4(F.col("score")).alias("score"),
         F.coalesce(T.first_filled("doc_path", "source"), F.lit("unknown")).alias("source"),
         code_warning(F.col("content"), F.col("content_type"), config).alias("content"),
         (F.col("content") if raw else F.lit(None).cast("string")).alias("raw_content"),
+        *[(F.col(c) if c in candidates.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("symbol_name", "string"), ("start_line", "int"), ("end_line", "int"))],
         (F.to_json(F.struct(*[c for c in flt.FILTER_KEYS if c in candidates.columns])) if metadata else F.lit(None).cast("string")).alias("metadata"),
         "mode",
     )

@@ -20,18 +20,24 @@ TIER_SCORES = (1.0, 0.95, 0.8)
 def search(chunks: DataFrame, queries: DataFrame, limit: int, config: Config | None = None, filters: Mapping[str, str] | None = None) -> DataFrame:
     """(qid, chunk_id, score, tier, rank) for the queries that are identifiers.
 
-    One scan: each row takes its best tier.  Exact and case-insensitive matches
-    share one cap, substring matches have their own, which rows of better tiers
-    use up too.  Queries are few and broadcast; the caps plan as limited windows."""
+    Exact and case-insensitive matches are an equality join and share one cap.
+    Substring matches have their own, which rows of better tiers use up too: the
+    different names meet a query by its first trigram without a wildcard, and the few candidates are tested whole; only queries without such a
+    trigram are compared with every name."""
     config = config or Config()
     asked = queries.where(T.is_symbol_query(F.col("query"))).select("qid", F.trim("query").alias("q"))
     rows = chunks.where(flt.condition(filters or {})).where("symbol_name IS NOT NULL").select("chunk_id", "symbol_name")
     name, q = F.col("symbol_name"), F.col("q")
-    fuzzy = F.expr("symbol_name ILIKE concat('%', q, '%')")
-    tier = F.when(name == q, 1).when(F.lower(name) == F.lower(q), 2).otherwise(3)
-    hits = rows.join(F.broadcast(asked), fuzzy | (F.lower(name) == F.lower(q))).withColumns({"tier": tier, "fuzzy": fuzzy})
-    exact = hits.where("tier < 3").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("n") <= min(limit, config.symbol_exact_limit))
-    near = hits.where("fuzzy").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("n") <= min(limit, config.symbol_fuzzy_limit))
+    same = rows.join(asked, F.lower(name) == F.lower(q)).withColumn("tier", F.when(name == q, 1).otherwise(2))
+    names = rows.select("symbol_name").distinct()
+    keyed = asked.withColumn("gram", F.get(F.filter(trigrams(q), lambda g: ~F.contains(g, F.lit("_"))), F.lit(0)))
+    likely = names.select("symbol_name", F.explode(F.array_distinct(trigrams(name))).alias("gram")).join(keyed.where("gram IS NOT NULL"), "gram").select("qid", "q", "symbol_name")
+    short = names.join(keyed.where("gram IS NULL").select("qid", "q"))
+    like = likely.unionByName(short.select("qid", "q", "symbol_name")).where(F.expr("symbol_name ILIKE concat('%', q, '%')"))
+    hits = same.select("qid", "chunk_id", "tier")
+    fuzzy = rows.join(like.select("qid", "symbol_name"), "symbol_name").select("qid", "chunk_id")
+    exact = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("n") <= min(limit, config.symbol_exact_limit))
+    near = fuzzy.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("n") <= min(limit, config.symbol_fuzzy_limit))
     near = near.join(exact.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("tier", F.lit(3))
     columns = ["qid", "chunk_id", "tier"]
     found = exact.select(columns).unionByName(near.select(columns))
@@ -39,6 +45,12 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int, config: Config | N
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("rank") <= limit)
 
 
+def trigrams(text: Column) -> Column:
+    """Every three characters of the lower-cased text, in order; none for shorter ones."""
+    low = F.lower(text)
+    return F.when(F.length(low) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
+
+
 # ---- symbol rows: file_id, name, kind (def or ref), type, line, end_line, column
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import text as T
 
@@ -56,46 +57,57 @@ def top_k(vectors: DataFrame, query: list[float], k: int, op: str = "<=>", min_s
     return ranked.withColumn("score", score(F.col("distance"))).where(F.col("score") >= min_score)
 
 
-def _best(block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, id and distance of the k least distances of each column; ties by id."""
+def _best(block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, row number and distance of the k least distances of each column (more where the last ones tie)."""
     keys = np.floor(block * 1e9 + 0.5)
-    order = np.lexsort((np.broadcast_to(ids[:, None], block.shape), keys), axis=0)[:k]
-    q = np.broadcast_to(np.arange(block.shape[1]), order.shape)
-    return q.ravel(), ids[order].ravel(), np.take_along_axis(block, order, axis=0).ravel()
+    if k < len(keys):
+        rows, q = np.nonzero(keys <= np.partition(keys, k - 1, axis=0)[k - 1])
+    else:
+        rows, q = np.indices(keys.shape).reshape(2, -1)
+    return q, rows, block[rows, q]
+
+
+def _first_k(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> list[np.ndarray]:
+    order = np.lexsort((ids, np.floor(d * 1e9 + 0.5), q))
+    q, ids, d = q[order], ids[order], d[order]
+    inside = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return [q[inside], ids[inside], d[inside]]
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, op: str = "<=>", min_score: float = 0.05) -> DataFrame:
-    """(qid, chunk_id, distance, score, rank) for queries (qid, embedding); chunk ids are numbers."""
+    """(qid, chunk_id, distance, score, rank) for queries (qid, embedding); ids of any type.
+
+    Vectors that are null or zero, of rows and of queries alike, match nothing."""
     spark = vectors.sparkSession
-    rows = ((r["qid"], r["embedding"]) for r in queries.where("embedding IS NOT NULL").select("qid", "embedding").toLocalIterator())
-    out = spark.createDataFrame([], "qid long, chunk_id long, distance double")
+    kinds = dict(vectors.dtypes)["chunk_id"], dict(queries.dtypes)["qid"]
+    schema = f"qid {kinds[1]}, chunk_id {kinds[0]}, distance double"
+    qid_kind, id_kind = (to_arrow_type(t.schema[c].dataType) for t, c in ((queries, "qid"), (vectors, "chunk_id")))
+    rows = ((r["qid"], r["embedding"]) for r in usable(queries).select("qid", "embedding").toLocalIterator())
+    out = spark.createDataFrame([], schema)
     while part := list(islice(rows, BLOCK_QUERIES)):  # the driver holds one block of queries
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in part]), np.array([v for _, v in part], dtype=np.float64)))
+        shared = spark.sparkContext.broadcast(([i for i, _ in part], np.array([v for _, v in part], dtype=np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            kept = None
             for batch in batches:
                 for a in range(0, batch.num_rows, 2048):
                     piece = batch.slice(a, 2048)
                     v = np.asarray(piece.column("embedding").flatten(), dtype=np.float64).reshape(piece.num_rows, -1)
-                    ids = np.asarray(piece.column("chunk_id"))
+                    ids = np.array(piece.column("chunk_id").to_pylist())
                     if op == "<=>":
                         d = 1 - (v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None])
                     elif op == "<#>":
                         d = -(v @ q.T)
                     else:
                         d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (v @ q.T), 0))
-                    found = _best(d, ids, k)
-                    kept = [np.concatenate(x) for x in zip(kept, found, strict=True)]
-                    order = np.lexsort((kept[1], np.floor(kept[2] * 1e9 + 0.5), kept[0]))
-                    kept = [x[order] for x in kept]
-                    first = np.searchsorted(kept[0], kept[0])
-                    inside = np.arange(len(first)) - first < k
-                    kept = [x[inside] for x in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[kept[0]], pa.int64()), pa.array(kept[1], pa.int64()), pa.array(kept[2], pa.float64())], ["qid", "chunk_id", "distance"])
-
-        out = out.unionByName(usable(vectors).select("chunk_id", "embedding").mapInArrow(run, "qid long, chunk_id long, distance double"))
+                    of, row, near = _best(d, k)
+                    found = of, ids[row], near
+                    kept = _first_k(*(np.concatenate(x) for x in zip(kept, found, strict=True)) if kept else found, k)
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in kept[0]], qid_kind), pa.array(kept[1].tolist(), id_kind), pa.array(kept[2], pa.float64())], ["qid", "chunk_id", "distance"])
+
+        out = out.unionByName(usable(vectors).select("chunk_id", "embedding").mapInArrow(run, schema))
     order = Window.partitionBy("qid").orderBy(T.order_key(F.col("distance")), "chunk_id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("score", score(F.col("distance"))).where(F.col("score") >= min_score)

@@ -16,27 +16,10 @@ from quarry.functions import paths
 from quarry.functions import text as T
 from quarry.operators import chunks as chunking
 from quarry.operators import filters, hybrid, lexical, symbols, vector
-from quarry.sources import store, sync
-
-from . import sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quarry.sources import store
 
+from . import catalog_sources, sql  # noqa: F401  the other module fills the same registry
+from .registry import ORACLES, QUERIES, query, table
 
 # ---- the model over the test tables
 
@@ -50,7 +33,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"))
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"), "left")
     return docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("text").alias("lexical_content"), "embedding",
         F.lit("p").alias("project_id"), F.lit("/r").alias("repo_root"), F.when(F.col("lang") == "en", "code").otherwise("markdown").alias("content_type"),
@@ -62,7 +45,7 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHUNKS = """SELECT doc_id AS chunk_id, text AS content, text, embedding, 'p' AS project_id, CASE WHEN lang = 'en' THEN 'code' ELSE 'markdown' END AS content_type,
   source AS doc_path, source, lang AS language, (CASE WHEN doc_id % 2 = 0 THEN 'Sym' ELSE 'sym' END) || (doc_id % 97) AS symbol_name, sha256(text) AS content_hash
-FROM documents JOIN embeddings ON doc_id = vec_id"""
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id"""
 ASKED = "SELECT item_id AS qid, text AS query, embedding FROM benchmark JOIN embeddings ON item_id = vec_id"
 
 
@@ -292,6 +275,52 @@ def lexical_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", F.col("chunk_id").alias("id"), T.round4(F.col("score")).alias("score"), F.col("pos").cast("long").alias("rank"), "mode")
 
 
+@query(f"""WITH {sql.nearest("SELECT vec_id AS chunk_id, embedding FROM embeddings", "SELECT 1 AS qid, embedding FROM embeddings WHERE vec_id = 0", 10)}
+SELECT qid, chunk_id, {sql.round4("score")} AS score, rank FROM sm""")
+def semantic_zero_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query vector of zeros or null matches nothing; the others are answered."""
+    first = table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.explode(F.array(*[F.struct(F.lit(q).alias("qid"), v.alias("embedding")) for q, v in ((0, F.transform("embedding", lambda x: x * 0)), (1, F.col("embedding")), (2, F.lit(None)))])).alias("q"))
+    out = vector.batch_top_k(vectors(spark, sf_dir), first.select("q.*"), 10)
+    return out.select("qid", "chunk_id", T.round4(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH ch AS MATERIALIZED ({CHUNKS}), {sql.index('SELECT chunk_id, text FROM ch')}, {sql.scored(ITEMS)}, {sql.top_lexical(10)}
+SELECT qid, lt.rank, '── ' || doc_path || CASE WHEN chunk_id % 2 = 0 THEN ':' || (1 + chunk_id % 9) || '-' || (10 + chunk_id % 9) ELSE '' END || ' (' || symbol_name || ')  [' || printf('%.4f', {sql.round4('score')}) || ']' AS line
+FROM lt JOIN ch USING (chunk_id)""")
+def search_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of a search as the text lines that a terminal shows."""
+    rows = chunk_rows(spark, sf_dir)
+    rows = rows.withColumns({"start_line": F.when(rows["chunk_id"] % 2 == 0, 1 + rows["chunk_id"] % 9).cast("int"), "end_line": (10 + rows["chunk_id"] % 9).cast("int")})
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), F.lit(None).cast("array<float>").alias("embedding"))
+    out = hybrid.search(rows, items, Config(symbol_enabled=False), mode="lexical")
+    return hybrid.render(hybrid.shape(out, Config())).select("qid", F.col("rank").cast("long").alias("rank"), "line")
+
+
+@query(f"""WITH ch AS MATERIALIZED ({CHUNKS}), qs AS ({SYMBOL_ROWS}), {sql.index('SELECT chunk_id, text FROM ch')}, {sql.scored('SELECT qid, query FROM qs')}, {sql.top_lexical(10)} {SYMBOL_CTES},
+po AS (SELECT qid, chunk_id, score, 1 AS first, rank AS pos FROM lt WHERE NOT EXISTS (SELECT 1 FROM sy WHERE sy.qid = lt.qid AND sy.chunk_id = lt.chunk_id) AND (SELECT count(*) FROM sy WHERE sy.qid = lt.qid) < 10
+       UNION ALL SELECT qid, chunk_id, score, 0, rank FROM sy),
+pn AS (SELECT *, count(*) FILTER (first = 0) OVER (PARTITION BY qid) AS ns, row_number() OVER (PARTITION BY qid ORDER BY first, pos) AS rank FROM po)
+SELECT qid, rank, chunk_id AS id, {sql.round4('score')} AS score, CASE WHEN ns = 0 THEN 'lexical' WHEN ns >= 10 THEN 'symbol' ELSE 'symbol+lexical' END AS mode FROM pn WHERE rank <= 10""")
+def lexical_with_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hybrid.search(chunk_rows(spark, sf_dir), _symbol_queries(spark, sf_dir), mode="lexical")
+    return out.select("qid", F.col("pos").cast("long").alias("rank"), F.col("chunk_id").alias("id"), T.round4(F.col("score")).alias("score"), "mode")
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'lexical ' || text ELSE text END AS text FROM documents WHERE trim(text) <> ''""")
+def index_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical text is indexed where it is not blank, else the content."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("lexical "), "text")).when(F.col("doc_id") % 3 == 1, F.lit("  "))
+    return lexical.index_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), own.alias("lexical_content")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND source <> '' THEN source WHEN doc_id % 3 = 0 AND lang <> '' THEN lang WHEN doc_id % 5 = 0 THEN 'f' || doc_id ELSE '__unknown__' END AS key FROM documents")
+def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of path, source and file name that is neither null nor empty."""
+    of = lambda n, x: F.when(F.col("doc_id") % n == 0, x)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(of(2, F.col("source")), F.lit("")).alias("doc_path"), of(3, F.col("lang")).alias("source"), of(5, F.concat(F.lit("f"), "doc_id")).alias("filename"))
+    return rows.select("doc_id", hybrid.source_key().alias("key"))
+
+
 POOL = "SELECT item_id AS qid, doc_id AS chunk_id, source AS doc_path, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919 + item_id * 31) % 10007, doc_id) AS pos FROM documents, benchmark WHERE (doc_id + item_id) % 40 = 0"
 
 
@@ -342,60 +371,10 @@ def store_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sources(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_path"), F.sha2(F.encode("lang", "UTF-8"), 256).alias("content_hash")))
 
 
-@query(f"SELECT chunk_id, doc_path FROM ({CHUNKS}) WHERE doc_path NOT IN ('src1', 'src2')")
-def delete_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = spark.createDataFrame([("src1",), ("src2",)], "doc_path string")
-    return chunk_rows(spark, sf_dir).join(gone, "doc_path", "left_anti").select("chunk_id", "doc_path")
-
-
-@query("SELECT doc_id AS chunk_id, lang AS project_id FROM documents WHERE lang <> 'es'")
-def delete_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("project_id"))
-
-
-LOCAL = "SELECT 'd' || doc_id AS doc_path, sha256(CASE WHEN doc_id % 5 = 1 THEN 'x' || text ELSE text END) AS h, 1 + doc_id % 3 AS e FROM documents WHERE doc_id % 7 <> 3"
-STORED = "SELECT 'd' || doc_id AS doc_path, sha256(text) AS h, 1 + doc_id % 2 AS c FROM documents WHERE doc_id % 11 <> 4"
-PLAN = f"""SELECT coalesce(a.doc_path, b.doc_path) AS doc_path, CASE WHEN a.h IS NULL THEN 'stale' WHEN b.h IS NULL THEN 'new' WHEN a.h <> b.h THEN 'updated' WHEN c < e THEN 'incomplete' ELSE 'unchanged' END AS action
-FROM ({LOCAL}) a FULL JOIN ({STORED}) b ON a.doc_path = b.doc_path"""
-
-
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("d"), F.col("doc_id"))
-    changed = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
-    local = docs.where("doc_id % 7 <> 3").select(path.alias("doc_path"), F.sha2(F.encode(changed, "UTF-8"), 256).alias("content_hash"), (1 + F.col("doc_id") % 3).alias("expected_chunks"))
-    stored = docs.where("doc_id % 11 <> 4").select(path.alias("doc_path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"), (1 + F.col("doc_id") % 2).alias("chunk_count"))
-    return sync.plan(local, stored)
-
-
-@query(PLAN)
-def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir).select("doc_path", "action")
-
-
-@query(f"SELECT doc_path FROM ({PLAN}) WHERE action = 'stale'")
-def stale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir).where("action = 'stale'").select("doc_path")
-
-
-@query(f"SELECT count(*) FILTER (action = 'new') AS n_new, count(*) FILTER (action IN ('updated', 'incomplete')) AS n_updated, count(*) FILTER (action = 'incomplete') AS n_incomplete, count(*) FILTER (action = 'unchanged') AS n_unchanged, count(*) FILTER (action = 'stale') AS n_stale FROM ({PLAN})")
-def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.counters(_plan(spark, sf_dir))
-
-
 # ---- chunks, paths and symbols
 
 
-@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-n AS MATERIALIZED (SELECT doc_id, list_transform(ls, lambda x: length(x) + 1) AS ns FROM l WHERE length(text) > 750),
--- one step closes a part: `s` its first line, `k` how many lines it holds
-f(doc_id, ns, part, s, k) AS (
-  SELECT doc_id, ns, 1, 0, (SELECT count(*) FROM range(1, len(ns) + 1) r(i) WHERE list_sum(ns[1:i]) <= 750 OR i = 1) FROM n
-  UNION ALL
-  SELECT doc_id, ns, part + 1, s + k - o, (SELECT count(*) FROM range(1, len(ns) - (s + k - o) + 1) r(i) WHERE i <= o + 1 OR list_sum(ns[s + k - o + 1:s + k - o + i]) <= 750)
-  FROM (SELECT *, (SELECT count(*) FROM range(1, k + 1) r(j) WHERE j = 1 OR list_sum(ns[s + k - j + 2:s + k]) < 200) AS o FROM f WHERE s + k < len(ns)))
-SELECT doc_id, part::INTEGER AS part, array_to_string(ls[s + 1:s + k], chr(10)) AS part_text, s::INTEGER AS first_line, (s + k - 1)::INTEGER AS last_line FROM f JOIN l USING (doc_id)
-UNION ALL SELECT doc_id, 1, text, 0, (len(ls) - 1)::INTEGER FROM l WHERE length(text) <= 750""")
+@query(f"WITH RECURSIVE {sql.by_size('SELECT doc_id AS k, text AS body FROM documents')} SELECT k AS doc_id, part, part_text, first_line, last_line FROM bs")
 def chunk_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.by_size(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "part", "part_text", "first_line", "last_line")
 
@@ -440,41 +419,12 @@ pr AS (SELECT doc_id, x, lead(x) OVER (PARTITION BY source ORDER BY doc_id) AS y
 g AS (SELECT doc_id, {_GRAMS.format('x')} AS ga, {_GRAMS.format('y')} AS gb FROM pr WHERE y IS NOT NULL)
 SELECT doc_id, {sql.round4('CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN 1.0 WHEN len(ga) = 0 OR len(gb) = 0 THEN 0.0 ELSE len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_concat(ga, gb))) END')} AS similarity FROM g""")
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "documents").select("doc_id", "source", symbols.gram_set(F.split("text", " ")).alias("x"))
-    pairs = nodes.withColumn("y", F.lead("x").over(Window.partitionBy("source").orderBy("doc_id"))).where("y IS NOT NULL")
-    return pairs.select("doc_id", T.round4(symbols.jaccard(F.col("x"), F.col("y"))).alias("similarity"))
-
-
-SYMBOLS = [
-    ("f1", "Outer", "def", "class", 1, 40, 0), ("f1", "Inner", "def", "class", 5, 20, 2), ("f1", "run", "def", "method", 6, 10, 4), ("f1", "run", "def", "method", 25, 30, 4),
-    ("f1", "run", "def", "function", 50, 55, 0), ("f1", "run", "ref", "call", 60, 60, 2), ("f2", "Outer", "def", "class", 10, 30, 0), ("f2", "run", "def", "method", 12, 14, 4),
-    ("f2", "size", "def", "property", 15, 15, 4), ("f3", "box", "def", "class", 1, 3, 0), ("f3", "query", "def", "query", 4, 4, 0), ("f3", "q2", "def", "query", 5, 5, 0), ("f3", "all", "ref", "call", 9, 9, 0),
-]
-_SYMBOL_VALUES = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in SYMBOLS) + ') AS v(file_id, name, kind, type, line, end_line, "column")'
-
-
-def _symbols(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SYMBOLS, "file_id string, name string, kind string, type string, line int, end_line int, column int")
-
-
-@query(f"""WITH s AS ({_SYMBOL_VALUES}) SELECT DISTINCT r.file_id, r.line, r.end_line FROM s r JOIN s i ON i.file_id = r.file_id AND i.name = 'Inner' AND i.kind = 'def' AND i.line <= r.line AND i.end_line >= r.end_line
-JOIN s o ON o.file_id = r.file_id AND o.name = 'Outer' AND o.kind = 'def' AND o.line <= i.line AND o.end_line >= i.end_line WHERE r.name = 'run' AND r.kind = 'def'""")
-def find_symbol_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.find(_symbols(spark), "Outer.Inner.run").select("file_id", "line", "end_line")
-
-
-@query(f"SELECT file_id, kind, type, count(*) AS n FROM ({_SYMBOL_VALUES}) GROUP BY ALL")
-def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.counts(_symbols(spark))
-
-
-_ORDER = "[" + ", ".join(f"'{t}'" for t in symbols.SUMMARY_ORDER) + "]"
-
-
-@query(f"""WITH n AS (SELECT file_id, type, count(*) AS n, coalesce(list_position({_ORDER}, type), 99) AS o FROM ({_SYMBOL_VALUES}) WHERE kind = 'def' GROUP BY ALL)
-SELECT file_id, string_agg(n || ' ' || CASE WHEN n = 1 THEN type WHEN type LIKE '%s' THEN type || 'es' WHEN type LIKE '%y' THEN left(type, length(type) - 1) || 'ies' ELSE type || 's' END, ', ' ORDER BY o, type) AS summary FROM n GROUP BY file_id""")
-def symbol_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.summary(_symbols(spark))
+    docs = table(spark, sf_dir, "documents")
+    # Ids are paired first; the sets then meet by id, so that no source gathers in one task.
+    pairs = docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("other")).where("other IS NOT NULL")
+    sets = docs.select("doc_id", symbols.gram_set(F.split("text", " ")).alias("x"))
+    both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("other"), F.col("x").alias("y")), "other")
+    return both.select("doc_id", T.round4(symbols.jaccard(F.col("x"), F.col("y"))).alias("similarity"))
 
 
 @query(r"""WITH l AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),

@@ -93,3 +93,18 @@ fj AS (SELECT coalesce(fa.qid, fb.qid) AS qid, coalesce(fa.chunk_id, fb.chunk_id
        FROM fa FULL JOIN fb ON fa.qid = fb.qid AND fa.chunk_id = fb.chunk_id),
 fs AS (SELECT *, CASE WHEN count(lex) OVER (PARTITION BY qid) > 0 THEN coalesce(ns, 0) * 0.6::DOUBLE + coalesce(nl, 0) * 0.4::DOUBLE ELSE sem END AS score FROM fj),
 fused AS MATERIALIZED (SELECT qid, chunk_id, score, sem, lex, row_number() OVER (PARTITION BY qid ORDER BY {key('score')} DESC, sem_rank NULLS LAST, lex_rank NULLS LAST, chunk_id) AS pos FROM fs)"""
+
+
+def by_size(rows: str, most: int = 750, overlap: int = 200) -> str:
+    """CTE bs (k, part, parts, part_text, first_line, last_line) of rows (k, body); the statement must begin WITH RECURSIVE."""
+    return f"""
+bl AS MATERIALIZED (SELECT k, body, string_split(body, chr(10)) AS ls FROM ({rows})),
+bn AS MATERIALIZED (SELECT k, list_transform(ls, lambda x: length(x) + 1) AS ns FROM bl WHERE length(body) > {most}),
+-- one step closes a part: `s` its first line, `n` how many lines it holds
+bf(k, ns, part, s, n) AS (
+  SELECT k, ns, 1, 0, (SELECT count(*) FROM range(1, len(ns) + 1) r(i) WHERE list_sum(ns[1:i]) <= {most} OR i = 1) FROM bn
+  UNION ALL
+  SELECT k, ns, part + 1, s + n - o, (SELECT count(*) FROM range(1, len(ns) - (s + n - o) + 1) r(i) WHERE i <= o + 1 OR list_sum(ns[s + n - o + 1:s + n - o + i]) <= {most})
+  FROM (SELECT *, (SELECT count(*) FROM range(1, n + 1) r(j) WHERE j = 1 OR list_sum(ns[s + n - j + 2:s + n]) < {overlap}) AS o FROM bf WHERE s + n < len(ns))),
+bs AS (SELECT k, part::INTEGER AS part, count(*) OVER (PARTITION BY k) AS parts, array_to_string(ls[s + 1:s + n], chr(10)) AS part_text, s::INTEGER AS first_line, (s + n - 1)::INTEGER AS last_line FROM bf JOIN bl USING (k)
+  UNION ALL SELECT k, 1, 1, body, 0, (len(ls) - 1)::INTEGER FROM bl WHERE length(body) <= {most})"""

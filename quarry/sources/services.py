@@ -112,7 +112,7 @@ def reranker(score: Callable[[str, list[str]], list[float] | None], queries: Dat
     Groups are a query's pool, which the pipeline bounds before."""
 
     def step(pool: DataFrame, keep: int) -> DataFrame:
-        joined = pool.join(F.broadcast(queries.select("qid", F.col("query").alias("_query"))), "qid")
+        joined = pool.join(queries.select("qid", F.col("query").alias("_query")), "qid")
 
         def one(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("pos")

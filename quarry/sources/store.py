@@ -18,7 +18,8 @@ STORES = "id string, name string, created_at timestamp, metadata map<string,stri
 
 
 class Store:
-    """One folder of chunks; every change is one atomic overwrite of the partitions it touches."""
+    """One folder of chunks.  A change writes the new rows beside the store, then puts them in place of the partitions it touches;
+    a crash between the two leaves the partitions as they were, one while they are put in place some of each (run the change again)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -66,12 +67,15 @@ class Store:
         before = self.read().where(touched).select("store_id", "project_id").distinct()
         emptied = before.join(staged.select("store_id", "project_id").distinct(), ["store_id", "project_id"], "left_anti").collect()
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_id", "project_id").parquet(self.path)
-        jvm = self.spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for r in emptied:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/store_id={escape(r['store_id'])}/project_id={escape(r['project_id'])}"), True)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+            self.remove(f"{self.path}/store_id={escape(r['store_id'])}/project_id={escape(r['project_id'])}")
+        self.remove(stage)
+
+    def remove(self, path: str) -> None:
+        """Deletes a folder of the store's file system."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def delete_docs(self, store_id: str, docs: DataFrame, project_id: str | None = None) -> int:
         """Removes the chunks of docs (doc_path) in one project, or in all of the store's; how many went."""

@@ -68,8 +68,13 @@ def resolve_project(path: Column, roots: list[str]) -> Column:
 
 def find_projects(asked: DataFrame, registry: DataFrame) -> DataFrame:
     """key, id: by id, then name, then first path segment as a name, then root, then the longest root above the key."""
-    r = registry.select("id", "name", "root")
-    pairs = asked.join(F.broadcast(r), (F.col("key") == F.col("id")) | (F.col("key") == F.col("name")) | (F.substring_index("key", "/", 1) == F.col("name")) | paths.within(F.col("key"), F.col("root")), "left")
-    order = F.when(F.col("key") == F.col("id"), 0).when(F.col("key") == F.col("name"), 1).when(F.substring_index("key", "/", 1) == F.col("name"), 2).when(F.col("key") == F.col("root"), 3).otherwise(4)
-    return pairs.groupBy("key").agg(F.min_by("id", F.struct(order, -F.length("root"), "id")).alias("id"))
-
+    one = lambda order, kind, value: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), value.alias("value"))
+    key, steps = F.col("key"), F.split(F.regexp_replace("key", "/+$", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    # The key itself is its root in tier 3, folders above it in tier 4: an equality join by every folder on the way.
+    roots = F.transform(above, lambda a: F.struct(F.when(a == key, 3).otherwise(4).alias("order"), F.lit("root").alias("kind"), a.alias("value")))
+    sought = asked.select("key", F.explode(F.concat(F.array(one(0, "id", key), one(1, "name", key), one(2, "name", F.substring_index("key", "/", 1))), roots)).alias("s")).select("key", "s.*")
+    plain = F.regexp_replace("root", "/+$", "")
+    known = registry.select("id", F.length("root").alias("length"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("id", F.col("id")), ("name", F.col("name")), ("root", plain))])).alias("r")).select("id", "length", "r.*")
+    best = sought.join(known, ["kind", "value"]).groupBy("key").agg(F.min_by("id", F.struct("order", -F.col("length"), "id")).alias("id"))
+    return asked.select("key").distinct().join(best, "key", "left")
