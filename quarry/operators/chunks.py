@@ -2,53 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_right
+from collections.abc import Callable
+from functools import cache
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quarry.functions import paths
 from quarry.functions import text as T
 
-PART = "struct<start:int,n:int>"
+PIECES = ArrayType(StructType([StructField("part_text", StringType()), StructField("first_line", IntegerType()), StructField("last_line", IntegerType())]))
+#: White space that is trimmed off the ends of module-level chunks.
+BLANK = " \t\n\x0b\f\r"
+
+
+def line_sizes(text: str, lines: list[str]) -> list[int]:
+    """UTF-16 units of each line and its end."""
+    plain = text.isascii() or max(text) <= "\uffff"
+    return [len(x) + 1 for x in lines] if plain else [len(x.encode("utf-16-le", "surrogatepass")) // 2 + 1 for x in lines]
 
 
-def split_parts(text: Column, most: int = 750, overlap: int = 200) -> Column:
-    """Array of struct(start, n): first line (from 0) and number of lines of each part.
+def cut(text: str, most: int, overlap: int) -> list[tuple[str, int, int]]:
+    """(text, first line, last line) of each part, from 0.
 
-    A fold over the lengths of the lines alone, so the state is a few integers and
-    the parts so far, whatever the length of the text.  A part closes when the next
-    line would exceed `most`; the next one takes over whole last lines until they
-    hold `overlap` characters."""
-    lengths = F.transform(F.split(text, "\n", -1), lambda x: T.utf16_length(x) + 1)
-    zero = F.struct(F.array().cast(f"array<{PART}>").alias("parts"), F.array().cast("array<int>").alias("cur"), F.lit(0).alias("chars"), F.lit(0).alias("at"))
+    A part closes when the next line would exceed `most`; the next one takes over
+    whole last lines until they hold `overlap` characters.  Each part is found by
+    bisection in the running sizes, so a text costs its length and its parts."""
+    lines = text.split("\n")
+    sizes = line_sizes(text, lines)
+    if sum(sizes) - 1 <= most:
+        return [(text, 0, len(lines) - 1)]
+    upto = [0, *accumulate(sizes)]
+    out, start, least = [], 0, 0
+    while True:
+        # Lines that were taken over stay, and one more comes, whatever their size.
+        end = max(bisect_right(upto, upto[start] + most) - 1, least + 1)
+        out.append(("\n".join(lines[start:end]), start, end - 1))
+        if end >= len(lines):
+            return out
+        start, least = max(bisect_right(upto, upto[end] - overlap) - 1, start), end
 
-    def carried(cur: Column) -> Column:
-        """The last lines of a part, in order, until they reach the overlap."""
-        start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).alias("size"))
-        add = lambda s, x: F.when(s["size"] < overlap, F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["size"] + x).alias("size"))).otherwise(s)
-        return F.aggregate(F.reverse(cur), start, add)
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["chars"] + x > most) & (F.size(acc["cur"]) > 0)
-        kept = carried(acc["cur"])
-        done = F.concat(acc["parts"], F.array(F.struct((acc["at"] - F.size(acc["cur"])).alias("start"), F.size(acc["cur"]).alias("n"))))
-        return F.struct(
-            F.when(full, done).otherwise(acc["parts"]).alias("parts"),
-            F.concat(F.when(full, kept["kept"]).otherwise(acc["cur"]), F.array(x)).alias("cur"),
-            (F.when(full, kept["size"]).otherwise(acc["chars"]) + x).alias("chars"),
-            (acc["at"] + 1).alias("at"),
-        )
+@cache
+def cutter(most: int, overlap: int) -> Callable:
+    @F.arrow_udf(PIECES)
+    def parts(text: pa.Array) -> pa.Array:
+        rows = [[] if t is None else [dict(zip(("part_text", "first_line", "last_line"), p, strict=True)) for p in cut(t, most, overlap)] for t in text.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("part_text", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())])))
 
-    last = lambda acc: F.concat(acc["parts"], F.array(F.struct((acc["at"] - F.size(acc["cur"])).alias("start"), F.size(acc["cur"]).alias("n"))))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(lengths).alias("n")))
-    return F.when(T.utf16_length(text) <= most, whole).otherwise(F.aggregate(lengths, zero, step, last))
+    return parts
 
 
 def by_size(rows: DataFrame, text: str, most: int = 750, overlap: int = 200) -> DataFrame:
-    """The rows with part (from 1), parts, part_text, first_line and last_line (from 0) for each part."""
-    parts = rows.withColumn("_parts", split_parts(F.col(text), most, overlap))
+    """The rows with part (from 1), parts, part_text, first_line and last_line (from 0) for each part; null texts have none."""
+    parts = rows.withColumn("_parts", cutter(most, overlap)(F.col(text).cast("string")))
     out = parts.select(*rows.columns, F.size("_parts").alias("parts"), F.posexplode("_parts").alias("_i", "_p"))
-    lines = F.slice(F.split(F.col(text), "\n", -1), F.col("_p.start") + 1, F.col("_p.n"))
-    return out.select(*rows.columns, (F.col("_i") + 1).alias("part"), "parts", F.array_join(lines, "\n").alias("part_text"), F.col("_p.start").alias("first_line"), (F.col("_p.start") + F.col("_p.n") - 1).alias("last_line"))
+    return out.select(*rows.columns, (F.col("_i") + 1).alias("part"), "parts", "_p.part_text", "_p.first_line", "_p.last_line")
 
 
 def lexical_text(rel_path: Column, symbol: Column, language: Column, content: Column) -> Column:
@@ -62,13 +75,25 @@ def gaps(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """file_id, first_line, last_line (from 0), content: runs of lines outside all definitions, of over 20 characters when trimmed.
 
     files: file_id, content; symbols: file_id, line, end_line (from 1)."""
-    lines = files.select("file_id", F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
-    covered = symbols.select("file_id", F.explode(F.sequence(F.greatest(F.col("line") - 1, F.lit(0)), F.greatest(F.col("line") - 1, F.col("end_line") - 1))).alias("line")).distinct()
-    free = lines.join(covered, ["file_id", "line"], "left_anti")
-    run = F.col("line") - F.row_number().over(Window.partitionBy("file_id").orderBy("line"))
-    grouped = free.withColumn("run", run).groupBy("file_id", "run").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"))
-    trimmed = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
-    return grouped.select("file_id", "first_line", "last_line", trimmed.alias("content")).where(F.length("content") > 20)
+    spans = symbols.select("file_id", F.struct(F.greatest(F.col("line") - 1, F.lit(0)).cast("int").alias("a"), F.greatest(F.col("line") - 1, F.col("end_line") - 1, F.lit(0)).cast("int").alias("b")).alias("s"))
+    held = spans.groupBy("file_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    free = files.select("file_id", "content").join(held, "file_id", "left").select("file_id", F.explode(_free(F.col("content"), F.col("spans"))).alias("g"))
+    return free.select("file_id", "g.first_line", "g.last_line", F.col("g.part_text").alias("content"))
+
+
+@F.arrow_udf(PIECES)
+def _free(content: pa.Array, spans: pa.Array) -> pa.Array:
+    rows = []
+    for text, held in zip(content.to_pylist(), spans.to_pylist(), strict=True):
+        lines, out, at = [] if text is None else text.split("\n"), [], 0
+        for a, b in [*((s["a"], s["b"]) for s in held or ()), (len(lines), len(lines))]:
+            a = min(a, len(lines))
+            trimmed = "\n".join(lines[at:a]).strip(BLANK)
+            if len(trimmed) > 20:
+                out.append({"part_text": trimmed, "first_line": at, "last_line": a - 1})
+            at = max(at, b + 1)
+        rows.append(out)
+    return pa.array(rows, pa.list_(pa.struct([("part_text", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())])))
 
 
 def chunk(files: DataFrame, symbols: DataFrame | None = None, most: int = 750, overlap: int = 200, module_level: bool = True) -> DataFrame:
