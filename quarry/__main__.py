@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 
 from quarry.api import Service
 from quarry.config import CODE_EXTENSIONS, CONFIG_EXTENSIONS, load
 from quarry.sources import sync
-from quarry.sources.services import HashEmbedder
+from quarry.sources.http import HttpEmbedder, HttpReranker
+from quarry.sources.services import HashEmbedder, reranker
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -25,10 +27,19 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--export-plan")
     p.add_argument("--limit", type=int)
+    p.add_argument("--embedding-url", help="base of an embedding service; without it vectors are word hashes")
+    p.add_argument("--embedding-model", default="")
+    p.add_argument("--embedding-key-variable", default="EMBEDDING_KEY", help="the environment variable that holds the service's key")
+    p.add_argument("--rerank", action="store_true", help="rerank by the same service")
     p.add_argument("--mode", choices=["hybrid", "semantic", "lexical"], default="hybrid")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
-    service = Service(spark, a.store_path, load(), HashEmbedder())
+    config, key = load(), os.environ.get(a.embedding_key_variable, "")
+    embedder = HttpEmbedder(a.embedding_url, key, a.embedding_model, config.vector_dim, per_minute=config.embed_per_minute) if a.embedding_url else HashEmbedder()
+    service = Service(spark, a.store_path, config, embedder)
+    if a.rerank and a.embedding_url:
+        asked = spark.createDataFrame([(0, a.target)], "qid long, query string")
+        service.rerank = reranker(HttpReranker(a.embedding_url, key, top=config.rerank_top), asked)
     extensions = [e.strip() for e in a.extensions.split(",") if e.strip()]
     if a.command == "index":
         planned, _ = service.plan(a.target, a.store, a.project, extensions, a.force)

@@ -159,7 +159,7 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- projects and paths
 
 PROJECTS = "SELECT 'p' || n_nationkey AS id, n_name AS name, '/r/' || n_regionkey || '/' || n_nationkey AS root FROM nation"
-KEYS = """SELECT DISTINCT CASE o_orderkey % 6 WHEN 0 THEN 'p' || k WHEN 1 THEN coalesce(n_name, 'no') WHEN 2 THEN coalesce(n_name, 'no') || '/x/y' WHEN 3 THEN '/r/' || coalesce(n_regionkey, 9) || '/' || k WHEN 4 THEN '/r/' || coalesce(n_regionkey, 9) || '/' || k || '/a/b' ELSE 'none' || k END AS key
+KEYS = """SELECT DISTINCT CASE o_orderkey % 6 WHEN 0 THEN 'p' || k WHEN 1 THEN lower(coalesce(n_name, 'no')) WHEN 2 THEN coalesce(n_name, 'no') || '/x/y' WHEN 3 THEN '/r/' || coalesce(n_regionkey, 9) || '/' || k WHEN 4 THEN '/r/' || coalesce(n_regionkey, 9) || '/' || k || '/a/b' ELSE 'none' || k END AS key
 FROM (SELECT o_orderkey, o_orderkey // 6 % 30 AS k FROM orders) o LEFT JOIN nation ON k = n_nationkey"""
 
 
@@ -173,16 +173,23 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = orders.join(table(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey"), "left")
     name, root = F.coalesce("n_name", F.lit("no")), F.concat(F.lit("/r/"), F.coalesce("n_regionkey", F.lit(9)), F.lit("/"), "k")
     kind = F.col("o_orderkey") % 6
-    key = F.when(kind == 0, F.concat(F.lit("p"), "k")).when(kind == 1, name).when(kind == 2, F.concat(name, F.lit("/x/y"))).when(kind == 3, root).when(kind == 4, F.concat(root, F.lit("/a/b"))).otherwise(F.concat(F.lit("none"), "k"))
+    key = F.when(kind == 0, F.concat(F.lit("p"), "k")).when(kind == 1, F.lower(name)).when(kind == 2, F.concat(name, F.lit("/x/y"))).when(kind == 3, root).when(kind == 4, F.concat(root, F.lit("/a/b"))).otherwise(F.concat(F.lit("none"), "k"))
     return both.select(key.alias("key")).distinct()
 
 
-@query(f"""SELECT key, arg_min(id, o) AS id FROM (SELECT key, id, CASE WHEN key = id THEN 0 WHEN key = name THEN 1 WHEN split_part(key, '/', 1) = name THEN 2 WHEN key = root THEN 3 ELSE 4 END AS o
-FROM ({KEYS}) LEFT JOIN ({PROJECTS}) ON key = id OR key = name OR split_part(key, '/', 1) = name OR key = root OR starts_with(key, root || '/')) GROUP BY key""")
+@query(f"""SELECT key, arg_min(id, o) AS id FROM (SELECT key, id, CASE WHEN lower(key) = lower(id) THEN 0 WHEN lower(key) = lower(name) THEN 1 WHEN lower(split_part(key, '/', 1)) = lower(id) THEN 2 WHEN lower(split_part(key, '/', 1)) = lower(name) THEN 3 WHEN key = root THEN 4 ELSE 5 END AS o
+FROM ({KEYS}) LEFT JOIN ({PROJECTS}) ON lower(key) IN (lower(id), lower(name)) OR (contains(key, '/') AND lower(split_part(key, '/', 1)) IN (lower(id), lower(name))) OR key = root OR starts_with(key, root || '/')) GROUP BY key""")
 def project_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.find_projects(_keys(spark, sf_dir), _projects(spark, sf_dir))
 
 
+@query(f"SELECT id, name, root FROM ({PROJECTS}) WHERE id NOT IN ('p3', 'p4') UNION ALL SELECT 'p3', 'renamed', '/new'")
+def project_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project registered anew, one taken out."""
+    known = sync.registered(_projects(spark, sf_dir), spark.createDataFrame([("p3", "renamed", "/new")], "id string, name string, root string"))
+    return sync.unregistered(known, spark.createDataFrame([("p4",)], "id string"))
+
+
 @query(f"SELECT key, (SELECT max(root) FROM ({PROJECTS}) WHERE key = root OR starts_with(key, root || '/')) AS root FROM ({KEYS})")
 def project_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = [f"/r/{r['n_regionkey']}/{r['n_nationkey']}" for r in table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").collect()]  # 25 rows, a literal list

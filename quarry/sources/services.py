@@ -107,7 +107,8 @@ def embed_missing(rows: DataFrame, embedder: Embedder, batch: int = 48) -> DataF
 
 
 def reranker(score: Callable[[str, list[str]], list[float] | None], queries: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
-    """A reranking step from a function of (query, texts); None from it leaves a query's order, cut to the number kept.
+    """A reranking step from a function of (query, texts); None from it leaves a query's order, cut to the number kept;
+    texts without a number (NaN) go.
 
     Groups are a query's pool, which the pipeline bounds before."""
 
@@ -119,7 +120,7 @@ def reranker(score: Callable[[str, list[str]], list[float] | None], queries: Dat
             texts = [a if isinstance(a, str) and a.strip() else b for a, b in zip(frame["lexical_content"], frame["content"], strict=True)]
             found = score(frame["_query"].iloc[0], texts)
             if found is not None:
-                frame = frame.assign(score=[float(x) for x in found]).sort_values(["score", "pos"], ascending=[False, True], kind="stable")
+                frame = frame.assign(score=[float(x) for x in found]).dropna(subset=["score"]).sort_values(["score", "pos"], ascending=[False, True], kind="stable")
             frame = frame.head(keep)
             return frame.assign(pos=range(1, len(frame) + 1)).drop(columns="_query")
 

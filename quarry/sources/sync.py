@@ -66,15 +66,29 @@ def resolve_project(path: Column, roots: list[str]) -> Column:
     return F.reduce(held, F.lit(None).cast("string"), lambda acc, r: F.when(acc.isNull() | (F.length(r) > F.length(acc)), r).otherwise(acc))
 
 
+def registered(registry: DataFrame, projects: DataFrame) -> DataFrame:
+    """The registry (id, name, root) with projects put in, in place of those of the same id."""
+    return unregistered(registry, projects.select("id")).unionByName(projects.select("id", "name", "root"))
+
+
+def unregistered(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    return registry.join(ids.select("id").distinct(), "id", "left_anti").select("id", "name", "root")
+
+
 def find_projects(asked: DataFrame, registry: DataFrame) -> DataFrame:
-    """key, id: by id, then name, then first path segment as a name, then root, then the longest root above the key."""
+    """key, id: by id, then name, both in any case, then by a path's first segment as either, then by root, then the longest root above the key.
+
+    An equality join by all that a key may be; blank keys find nothing."""
     one = lambda order, kind, value: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), value.alias("value"))
-    key, steps = F.col("key"), F.split(F.regexp_replace("key", "/+$", ""), "/")
+    key = F.trim("key")
+    low, head = F.lower(key), F.when(F.contains(key, F.lit("/")), F.lower(F.trim(F.substring_index(key, "/", 1))))
+    steps = F.split(F.regexp_replace(key, "/+$", ""), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
-    # The key itself is its root in tier 3, folders above it in tier 4: an equality join by every folder on the way.
-    roots = F.transform(above, lambda a: F.struct(F.when(a == key, 3).otherwise(4).alias("order"), F.lit("root").alias("kind"), a.alias("value")))
-    sought = asked.select("key", F.explode(F.concat(F.array(one(0, "id", key), one(1, "name", key), one(2, "name", F.substring_index("key", "/", 1))), roots)).alias("s")).select("key", "s.*")
+    roots = F.transform(above, lambda a: F.struct(F.when(a == key, 4).otherwise(5).alias("order"), F.lit("root").alias("kind"), a.alias("value")))
+    every = F.concat(F.array(one(0, "id", low), one(1, "name", low), one(2, "id", head), one(3, "name", head)), roots)
+    sought = asked.select("key", F.explode(every).alias("s")).select("key", "s.*").where("value <> ''")
     plain = F.regexp_replace("root", "/+$", "")
-    known = registry.select("id", F.length("root").alias("length"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("id", F.col("id")), ("name", F.col("name")), ("root", plain))])).alias("r")).select("id", "length", "r.*")
+    values = (("id", F.lower("id")), ("name", F.lower("name")), ("root", plain))
+    known = registry.select("id", F.length("root").alias("length"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values])).alias("r")).select("id", "length", "r.*")
     best = sought.join(known, ["kind", "value"]).groupBy("key").agg(F.min_by("id", F.struct("order", -F.col("length"), "id")).alias("id"))
     return asked.select("key").distinct().join(best, "key", "left")

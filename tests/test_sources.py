@@ -1,4 +1,6 @@
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +8,9 @@ from pyspark.sql import functions as F
 from quarry.api import Service
 from quarry.functions import paths
 from quarry.operators import chunks as chunking
-from quarry.operators import code, symbols
+from quarry.operators import code, hybrid, symbols
 from quarry.sources import files, services, store, sync
+from quarry.sources.http import HttpEmbedder, HttpReranker, authorised
 from quarry.streaming import ingest
 
 
@@ -184,3 +187,64 @@ def test_paths():
     assert paths.normalize(" '/a//b/../c' ") == "/a/c" and paths.normalize("~/x", "/home/u") == "/home/u/x"
     assert paths.is_supported("x.PY") and not paths.is_supported("Makefile") and ".mdx" in paths.supported_extensions()
     assert paths.size_text(10) == "10 B" and paths.size_text(2048) == "2.0 KB"
+
+
+class Stub(http.server.BaseHTTPRequestHandler):
+    """An embedding service: busy at first, answers out of order."""
+
+    refuse = 0
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if not authorised(self.headers["Authorization"], "k") or Stub.refuse > 0:
+            Stub.refuse -= 1
+            self.send_response(401 if not authorised(self.headers["Authorization"], "k") else 503)
+            self.end_headers()
+            return
+        if self.path == "/v1/embeddings":
+            out = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])][::-1]}
+        else:
+            out = {"results": [{"index": i, "relevance_score": len(t) / 100} for i, t in enumerate(body["documents"])][-body["top_n"] :]}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(out).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_http_services(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        embedder = HttpEmbedder(base, "k", "m", 2, delays=(0.01, 0.01))
+        Stub.refuse = 2
+        assert embedder.embed(["a", "bbb"]) == [[1.0, 1.0], [3.0, 1.0]] and embedder.embed([]) == []
+        rows = spark.createDataFrame([("x", None, None), ("yy", "zzzz", [0.0, 0.0])], "content string, semantic_content string, embedding array<double>")
+        assert sorted(r.embedding[0] for r in services.embed_missing(rows, embedder).collect()) == [0.0, 1.0]
+        for wrong in (HttpEmbedder(base, "other", "m", 2, delays=()), HttpEmbedder(base, "k", "m", 3, delays=())):
+            with pytest.raises((OSError, ValueError)):
+                wrong.embed(["a"])
+        rank = HttpReranker(base, "k", top=2, delays=(0.01,))
+        assert [x if x == x else None for x in rank("q", ["a", "bb", "ccc"])] == [None, 0.02, 0.03]
+        assert HttpReranker(base, "other", delays=())("q", ["a"]) is None
+        pool = spark.createDataFrame([(0, i, t, t, 0.5) for i, t in enumerate(("aaaa", "bb", "ccc"), 1)], "qid long, pos int, content string, lexical_content string, score double")
+        step = services.reranker(rank, spark.createDataFrame([(0, "q")], "qid long, query string"))
+        assert [(r.pos, r.content) for r in step(pool, 5).orderBy("pos").collect()] == [(1, "ccc"), (2, "bb")]
+    finally:
+        server.shutdown()
+
+
+def test_search_returns_stored_ids(spark, tmp_path):
+    service = Service(spark, str(tmp_path / "s"), embedder=services.HashEmbedder(8))
+    rows = spark.createDataFrame([(f"my-id-{i}", f"def rate_limiter_{i}(): pass # words {i}", f"f{i}.py", f"rate_limiter_{i}", i, i + 3) for i in range(4)], "id string, content string, doc_path string, symbol_name string, start_line int, end_line int")
+    service.insert("s", rows, "p")
+    found = service.search("s", "words 2", project_id="p")
+    assert {r.id for r in found.collect()} <= {f"my-id-{i}" for i in range(4)}
+    lines = [r.line for r in hybrid.render(found).collect()]
+    assert lines and all(x.startswith("── f") and "(rate_limiter_" in x for x in lines)
+    folder = service.indexes[("s", "p", None)].path
+    assert spark.read.parquet(f"{folder}/postings").count() > 0
+    service.insert("s", rows.limit(1).withColumn("id", F.lit("again")), "p")
+    assert not service.indexes and "again" in {r.id for r in service.search("s", "rate limiter words", project_id="p", limit=50, mode="lexical").collect()}
