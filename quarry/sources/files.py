@@ -32,15 +32,21 @@ def wanted(listed: DataFrame, root: str, extensions: list[str], max_bytes: int |
     return out if max_bytes is None else out.where(F.col("length") <= max_bytes)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (without scheme), length, modified, content of all files below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def listing(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+    """path (without scheme), length, modified, bytes of the files below root; of the given extensions only, in any case, if any are given."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".").lower())
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(map(either, extensions)) + "}")
+    files = reader.load(root)
     return files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"))
 
 
 def collect(spark: SparkSession, root: str, extensions: list[str], max_bytes: int | None = 204_800) -> DataFrame:
-    """file_id, path, content, content_hash of the wanted files in order of path; the content column is read for them only."""
+    """file_id, path, content, content_hash of the wanted files in order of path.
+
+    Other extensions are left out when files are listed and larger files before they are read; files in skipped folders are read and then dropped."""
     base = root.rstrip("/").removeprefix("file://")
-    rows = wanted(listing(spark, root), base, extensions, max_bytes).dropDuplicates(["path"])
+    rows = wanted(listing(spark, root, extensions), base, extensions, max_bytes).dropDuplicates(["path"])
     text = F.decode("bytes", "UTF-8")
     return rows.select(paths.relative(F.col("path"), F.lit(base)).alias("file_id"), "path", text.alias("content"), F.sha2(F.encode(text, "UTF-8"), 256).alias("content_hash"), "length").orderBy("path")

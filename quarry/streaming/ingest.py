@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators import chunks
+from quarry.operators import chunks, code
 from quarry.sources.store import Store
 
 FILES = "file_id string, path string, content string, repo_root string, project_id string"
@@ -17,11 +17,11 @@ def read(spark: SparkSession, folder: str, fmt: str = "json") -> DataFrame:
 
 
 def start(files: DataFrame, store: Store, store_id: str, project_id: str, checkpoint: str, most: int = 750, overlap: int = 200) -> StreamingQuery:
-    """Each micro-batch is one idempotent upsert, so a batch that runs twice changes nothing more."""
+    """Each micro-batch is one idempotent upsert, chunked by symbols as batch indexing does, so a batch that runs twice changes nothing more."""
 
     def put(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             last = batch.dropDuplicates(["path"])
-            store.upsert(chunks.chunk(last, None, most, overlap), store_id, project_id)
+            store.upsert(chunks.chunk(last, code.definitions(last), most, overlap), store_id, project_id)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
