@@ -237,6 +237,18 @@ def test_runs_are_sorted_and_compacted(spark):
     assert sum(spark.read.parquet(p).count() for p in runs.levels[0]) == 2
 
 
+def test_batches_of_a_filtered_table(spark, tmp_path):
+    """Rows that a filter takes away are not counted: 5 rows share a line of which the files hold 20."""
+    spark.createDataFrame([(i, "shared\nown %d" % i) for i in range(20)], "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for some, n in ((df.where("doc_id % 4 = 0"), 0), (df, 1)):
+        batches = lines.file_batches(some, 4)
+        assert sum(b.count() for b in batches) == some.count()
+        assert {x.n_dropped for x in lines.dedup(some, batches).collect()} == {n}
+    changed = df.withColumn("text", F.concat("text", F.lit("\nadded")))
+    assert {x.n_dropped for x in lines.dedup(changed, lines.file_batches(changed, 4)).collect()} == {2}
+
+
 def test_line_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -307,9 +319,10 @@ def test_near_paragraphs_against_all_pairs_of_a_band(spark):
     h, offsets = ragged.hashed(pa.array(texts))
     ph, _ = substrings.keys(h, offsets[:-1])
     order = np.argsort(ph)  # ids: the text of the least class first
-    paras = spark.createDataFrame([(k, 0, int(ph[i]), [7]) for k, i in enumerate(order)], "doc_id long, pos int, ph long, bands array<long>")
+    paras = spark.createDataFrame([(k, 0, int(ph[i]), [7], [k]) for k, i in enumerate(order)], "doc_id long, pos int, ph long, bands array<long>, homes array<int>")
     df = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id long, text string")
-    got = {x.node: x.label for x in components.components(substrings.near_links(df, paras, "text", "doc_id")).collect()}
+    seen = paras.select("ph", F.struct("doc_id", "pos").alias("first"))
+    got = {x.node: x.label for x in components.components(substrings.near_links(df, paras, seen, "text", "doc_id")).collect()}
     sets = [set(substrings.grams(h)[a : a + n - substrings.WIDTH + 1].tolist()) for a in offsets[:-1]]
     linked = [(x, y) for x in range(len(texts)) for y in range(x) if len(sets[x] & sets[y]) >= substrings.THRESHOLD * len(sets[x] | sets[y])]
     assert len(linked) > 6 and (2, 1) in linked
