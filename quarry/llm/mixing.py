@@ -9,7 +9,9 @@ block cut short; slots that the sequence leaves short are appended.
 
 Defined results: null texts have size 0 and are taken 0 times; a null source is
 a source of its own, the last; an empty table gives no rows; repeated rows take
-separate places on the line; null ids are allowed; other columns are not read.
+separate places on the line; null ids are allowed and spread by their texts; other columns are not read.  Rows
+that are equal in id, source and text lie next to each other, in one chunk.  Sources
+are ranked and their targets filled in one task: a row a source, some thousands.
 Texts are read once, into a written table of sizes; only these small rows are
 shuffled (the plan reuses the exchanges that its branches share).  Running sums are made inside chunks of bounded size with a prefix
 over chunk totals, so a source with a third of all rows is many tasks' work.
@@ -36,7 +38,7 @@ PHI = 0.6180339887498949
 def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 11) -> DataFrame:
     """doc_id, source, size, h: the place in the shuffled order."""
     of = F.size(words_of(F.coalesce(F.col(text), F.lit("")))).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), of.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source)).alias("h"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), of.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(text)).alias("h"))
 
 
 def targets(measured: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
