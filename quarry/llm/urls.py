@@ -11,6 +11,7 @@ literal of at most MAX_RULES entries and the model a literal expression.
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,33 @@ MAX_RULES = 10_000
 #: Labelled URLs used for fitting, at most; the first by hash if there are more.
 MAX_LABELLED = 50_000
 MAX_SUFFIXES = 500
+TREES, DEPTH = 16, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_odds"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "hyphens", "host_digits", "digit_ratio", "entropy", "parameters", "suffix_odds"]
 
 # Names from which the built-in labelled URLs are made: invented hosts of unwanted and of ordinary sites.
-UNWANTED = ["lucky-slots", "poker-bonus", "meds-4u", "loan-fast", "click-track", "banner-ads", "link-farm", "seo-spam", "xxx-cams", "hot-singles", "replica-bags", "bitcoin-double", "prize-claim", "diet-miracle", "bet-now", "essay-buy", "vip-tube", "free-rx", "lucky777spins", "xxx4free24", "0nlinep1lls"]
-ORDINARY = ["library", "museum", "weather", "gardening", "cityhall", "bakery", "physics", "astronomy", "cinema", "football", "recipes", "openmaps", "history", "radio", "painting", "theatre", "railway", "orchard", "schoolnews", "medicine", "townarchive", "botany", "localnews", "music", "town-hall", "sea-view", "book-club"]
-FORMS = ["http://{}.example.com/en/{}", "https://www.{}.example.com/fr/{}/", "https://m.{}.example.net/de/{}?page=2&ref=x", "http://{}.example.org/en/{}.html", "https://blog.{}.example.com/es/{}#top", "http://{}.example.net/en/{}?utm_source=feed", "https://{}.example.com/fr/{}"]
+UNWANTED = {
+    "names": [
+        "lucky-slots", "poker-bonus", "casino", "meds-4u", "cheap-viagra", "fast-loan-24", "click-track", "banner-ads", "link-farm-7", "seo-spam", "xxx-cams", "hot-singles-9", "replica-bags", "bitcoin-double",
+        "prize-claim", "diet-miracle", "bet-now-365", "essay-buy", "vip-tube", "free-rx", "lucky777spins", "xxx4free24", "0nlinep1lls", "win-iphone-14", "slots4u", "cash4you", "porn-hd", "escort-x", "mega-jackpot", "pills-shop",
+        "debt-relief-now", "crypto-x10", "big-bonus-88", "ad-server-12", "popunder", "spin-2-win", "fake-watches", "cheap-pills-rx", "adult-zone", "loan-shark-99",
+    ],
+    "suffixes": ["biz", "info", "xyz", "top", "click", "ru", "loan", "com", "net", "example.com", "example.net"],
+    "paths": ["/?aff={n}&cid={h}&sub={h}", "/click.php?id={n}&s={h}&r={n}", "/win/{h}", "/go/{h}?t={n}&u={h}&k={n}", "/buy-now-{n}-off?ref={h}&c={n}", "/{h}/{h}", "/promo?x={n}&y={n}&z={n}&w={h}", "/"],
+}
+ORDINARY = {
+    "names": [
+        "library", "museum", "weather", "gardening", "cityhall", "bakery", "physics", "astronomy", "cinema", "football", "recipes", "openmaps", "history", "radio", "painting", "theatre", "railway", "orchard", "schoolnews", "medicine",
+        "townarchive", "botany", "localnews", "music", "town-hall", "sea-view", "new-york-weather", "choir", "chess", "parliament", "university", "geology", "harbour", "poetry", "statistics", "observatory", "st-marys-school", "lakeside", "beekeeping", "translators",
+    ],
+    "suffixes": ["org", "gov", "edu", "com", "net", "de", "fr", "co.uk", "example.com", "example.net"],
+    "paths": ["/en/articles/{w}-of-{w}.html", "/{y}/05/{w}-and-{w}", "/about/{w}", "/wiki/{w}_{w}", "/docs/{w}/{w}/index.html", "/news/{y}/{w}?page=2", "/{w}/", "/"],
+}
+# Forms that say nothing of the class.
+PLAIN = ["/en/{n}", "/fr/{n}/", "/de/{n}?page=2&ref=x", "/en/{n}.html", "/es/{n}#top", "/en/{n}?utm_source=feed"]
+TOPICS = ["rivers", "bridges", "winter", "timetable", "members", "exhibition", "harvest", "opening", "minutes", "concert", "letters", "orbit", "garden", "council", "results", "maps"]
+#: Labelled URLs made for each name.
+URLS_A_NAME = 40
 
 
 def parts(url: Column) -> Column:
@@ -65,6 +86,7 @@ def lexical(rows: DataFrame, suffix_odds: dict[str, float] | None = None) -> Dat
             "depth": (F.length("path") - F.length(F.translate("path", "/", ""))).cast("double"),
             "labels": (F.length(host) - F.length(F.translate(host, ".", ""))).cast("double"),
             "hyphens": (F.length(host) - F.length(F.translate(host, "-", ""))).cast("double"),
+            "host_digits": (F.length(host) - F.length(F.translate(host, "0123456789", ""))).cast("double"),
             "digit_ratio": F.when(n > 0, (n - F.length(F.translate(url, "0123456789", ""))) / n).otherwise(0.0),
             "entropy": entropy(host),
             "parameters": F.when(F.col("query") == "", 0.0).otherwise((1 + F.length("query") - F.length(F.translate("query", "&", ""))).cast("double")),
@@ -77,10 +99,24 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
+def made_labels(seed: int = 7) -> list[tuple[str, str, int]]:
+    """(url, name, label) of the built-in set; label 1 is unwanted.  Hosts, suffixes, paths and parameters differ by class, some only in part."""
+    r = random.Random(seed)
+    out = []
+    for label, kind in ((1, UNWANTED), (0, ORDINARY)):
+        for name in kind["names"]:
+            for k in range(URLS_A_NAME):
+                form = r.choice(PLAIN if k % 2 else kind["paths"])
+                while "{" in form:
+                    form = form.replace("{n}", str(r.randrange(1, 10**r.randrange(1, 6))), 1).replace("{h}", f"{r.getrandbits(r.choice((24, 32, 64))):x}", 1)
+                    form = form.replace("{w}", r.choice(TOPICS), 1).replace("{y}", str(r.randrange(2001, 2025)), 1)
+                out.append((f"{r.choice(('http', 'https'))}://{r.choice(('', '', 'www.', 'm.', 'blog.'))}{name}.{r.choice(kind['suffixes'])}{form}", name, label))
+    return out
+
+
 def built_in_labels(spark: SparkSession) -> DataFrame:
-    """(url, label): every form with every name; label 1 is unwanted."""
-    made = [(form.format(name, 1000 + 37 * i + 11 * k), label) for label, names in ((1, UNWANTED), (0, ORDINARY)) for i, name in enumerate(names) for k, form in enumerate(FORMS)]
-    return spark.createDataFrame(made, "url string, label int")
+    """(url, label) of the built-in set."""
+    return spark.createDataFrame([(url, label) for url, _, label in made_labels()], "url string, label int")
 
 
 def split_url(rows: DataFrame, url: str = "url") -> DataFrame:
@@ -92,7 +128,7 @@ def fit(labelled: DataFrame) -> tuple[boost.Boosted, dict[str, float]]:
     bounded = split_url(labelled.select("url", "label").orderBy(F.xxhash64("url"), "url", "label").limit(MAX_LABELLED)).cache()
     counts = bounded.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES).collect()
     odds = {r["suffix"]: math.log((r["pos"] + 1) / (r["n"] - r["pos"] + 1)) for r in counts}
-    model = boost.fit(lexical(bounded, odds), FEATURES)
+    model = boost.fit(lexical(bounded, odds), FEATURES, trees=TREES, depth=DEPTH)
     bounded.unpersist()
     return model, odds
 
