@@ -293,7 +293,9 @@ def near_links(docs: DataFrame, paras: DataFrame, classes: DataFrame, text: str,
     large = large.select("key", "ph", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("key").alias("deal"))
     dealt = small.unionByName(large).join(sets, "ph")
     found = dealt.groupBy("deal", "i", "j").applyInArrow(lambda t: linked(t, threshold), "a long, b long")
-    return work.save(found.distinct(), "paragraph-links")
+    out = work.save(found.distinct(), "paragraph-links")
+    work.discard(once, members)
+    return out
 
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -318,6 +320,7 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     # Between two paragraphs of one alignment that touch nothing is left to find.
     bare = ((F.col("pos") - F.col("from") <= SPREAD) & (F.col("starts") | ~along(F.lag))) | ((F.col("to") - F.col("pos") <= SPREAD) & ((F.col("to") == F.col("pos")) | ~along(F.lead)))
     gone = work.save(gone.select("doc_id", "pos", "kept", bare.alias("bare")), "paragraph-gone")
+    work.discard(paras, classes, labels)
     inner = gone.where("NOT bare").select("doc_id", "pos", "kept", F.lit(0).alias("left"), F.lit(0).alias("right"))
     gone = inner.unionByName(reaches(gone.where("bare").select("doc_id", "pos", "kept"), docs, text, doc_id))
     # What stays is not cut by its own repeat, where the two overlap.

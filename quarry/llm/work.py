@@ -32,7 +32,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back: it cuts the lineage, survives the loss of executors and gives the planner true sizes."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Deletes the folders of saved tables that nothing reads any more."""
+    for df in saved:
+        remove(df.sparkSession, df.saved_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
