@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, mixing, neardup, quality, substrings, tokens, toxicity, urls
+from . import decontam, licenses, lines, merkle, mixing, neardup, quality, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,46 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("source")
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """The tree level by level, enough levels for 16 ** levels rows of a source."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+    rest = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+
+    def tree(name: str, key: str) -> list[str]:
+        """CTEs name0.. of (key, pos, node) by level, and name_path: the siblings of each first node on every level."""
+        out = []
+        for k in range(1, levels + 1):
+            out.append(f"{name}{k} AS (SELECT s, pos // 16 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node FROM {name}{k - 1} WHERE s IN (SELECT s FROM {name}{k - 1} GROUP BY s HAVING count(*) > 1) GROUP BY s, pos // 16)")
+        for k in range(levels):
+            out.append(f"""{name}_run{k} AS (SELECT a.s, a.pos, a.pos // 16 AS up, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+              FROM {name}{k} a JOIN {name}{k} b ON a.s = b.s AND a.pos // 16 = b.pos // 16 WHERE a.s IN (SELECT s FROM {name}{k + 1}) GROUP BY a.s, a.pos)""")
+        joins = " ".join(f"LEFT JOIN {name}_run{k} x{k} ON n.s = x{k}.s AND n.pos // {16**k} = x{k}.pos" for k in range(levels))
+        steps = ", ".join(f"x{k}" for k in range(levels))
+        out.append(f"{name}_path AS (SELECT n.s, n.pos, n.node, list_filter([{', '.join(f'CASE WHEN x{k}.l IS NULL THEN NULL ELSE {{l: x{k}.l, r: x{k}.r}} END' for k in range(levels))}], lambda z: z IS NOT NULL) AS path FROM {name}0 n {joins})")
+        out.append(f"{name}_root AS (SELECT s, node FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k DESC) AS t FROM ({' UNION ALL '.join(f'SELECT s, node, {k} AS k FROM {name}{k}' for k in range(levels + 1))})) WHERE t = 1)")
+        return out
+
+    fold = "list_reduce(list_prepend({l: now, r: ''}, path), lambda h, z: {l: sha256(z.l || h.l || z.r), r: ''}).l"
+    ctes = [
+        f"d AS (SELECT doc_id, source, sha256({rest} || {part('text')}) AS leaf, CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL AND {crc} % 5 = 0 THEN sha256({rest} || {part(lower)}) END AS now FROM documents)",
+        "o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, coalesce(now, leaf)) - 1 AS pos FROM d)",
+        "a0 AS (SELECT s, pos, leaf AS node FROM o)", *tree("a", "s"),
+        "b0 AS (SELECT 0 AS s, s - 1 AS pos, node FROM a_root)", *tree("b", "s"),
+        """p AS (SELECT o.doc_id, o.leaf, coalesce(o.now, o.leaf) AS now, y.node AS subroot, (SELECT node FROM b_root) AS root, list_concat(x.path, y.path) AS path
+          FROM o JOIN a_path x ON o.s = x.s AND o.pos = x.pos JOIN b_path y ON y.pos = o.s - 1)""",
+        f"f AS (SELECT *, sha256(list_aggregate(list_prepend('', list_transform(path, lambda z: z.l || z.r)), 'string_agg', '')) AS proof_sha256, {fold} AS folded_root FROM p)",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f"
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
