@@ -153,7 +153,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, fanout: int = FA
     subroots = work.save(tree.roots.select(F.lit(0).alias("all"), "source", F.col("root").alias("node")), "merkle-subroots")
     top = Tree(numbered(subroots, "all", ["source"]), "all", ["source"], fanout, depth)
     none = F.array().cast("array<struct<left:string,right:string>>")
-    whole = top.paths(docs.sparkSession.range(1).select(F.lit(0).alias("k"), none.alias("path")))
+    whole = top.paths(work.save(docs.sparkSession.range(1).select(F.lit(0).alias("k"), none.alias("path")), "merkle-top"))
     # A subroot and its siblings give the root, in every row of this small table.
     above = work.save(whole.select(F.col("source").alias("k"), "path", F.col("node").alias("subroot"), fold(F.col("node"), F.col("path")).alias("root")), "merkle-above")
     path = F.col("path")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, merkle, mixing, neardup, quality, substrings, tokens, toxicity, urls
+from . import decontam, licenses, lines, merkle, mixing, neardup, negatives, quality, substrings, token_ids, tokens, toxicity, urls, work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,32 @@ def _merkle_sql(levels: int = 7) -> str:
 
 
 ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = work.new_path(spark, "token-ids")
+    token_ids.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_ids.checksums(token_ids.read(spark, path))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.rid AS arid, a.v AS av, a.label, a.vec_id AS anchor_id, b.rid AS prid, b.vec_id AS positive_id, list_inner_product(a.v, b.v)::BIGINT AS ps
+  FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid WHERE a.vec_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY a.rid ORDER BY ps DESC, b.vec_id, b.rid) <= 5),
+s AS (SELECT DISTINCT a.arid, b.rid, b.vec_id AS negative_id, list_inner_product(a.av, b.v)::BIGINT AS ns FROM (SELECT DISTINCT arid, av, label FROM p) a JOIN v b ON a.label <> b.label),
+n AS (SELECT anchor_id, positive_id, ps, negative_id, ns, row_number() OVER (PARTITION BY p.arid, prid ORDER BY ns DESC, negative_id, rid) AS rank
+  FROM p JOIN s ON p.arid = s.arid AND 30 * ps <= 100 * ns AND 100 * ns <= 90 * ps)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 10
+"""
