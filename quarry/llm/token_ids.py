@@ -9,9 +9,10 @@ its rows, its ids and its start, the ids of all shards before it.
 
 Documents are ranged by id before their texts are tokenised, so one shuffle orders
 all and a task writes what it makes.  Byte-level BPE never merges across the start of
-a word: texts are cut before single spaces and around single line feeds, the library
-encodes each different word once, and ids are gathered; texts with other white space
-or adjacent blanks go to the library whole.
+a word: texts are cut before single spaces, around single line feeds and where letters
+end, the library encodes the different words of a batch that none before it had, and
+ids are gathered; texts with other white space, adjacent blanks or special strings go
+to the library whole.
 
 Defined results: null and empty texts have the end id only; a null id comes first and
 no lookup finds it; rows of one id follow each other by their texts; special strings
@@ -22,7 +23,9 @@ batch and its ids; a single text is one row.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,43 +39,52 @@ from . import ragged, work
 
 END = 2
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 32 << 20, 1000, 0.01
-#: Words kept between batches, and the longest that are.
+#: Words of a generation kept between batches, and the longest that are.
 CACHE, CACHED = 300_000, 64
-BATCH_BYTES = 1_000_000
+#: Characters and texts that the library gets at once.
+BATCH_BYTES, BATCH_TEXTS = 500_000, 5000
 IDS = "doc_id long, shard int, at long, n_ids long, ids array<int>"
 LEAD = "\x01"
 #: Two adjacent blanks, or a character that may be white space in its own right (the lead mark too): no cut is sure there.
 _UNSURE = r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+#: Letters end where an ASCII digit or sign follows them.
+_AFTER_LETTERS = (r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-@\[-`{-~])", r"\1 \2")
 
 
 class Encoder:
     """The library's ids of texts, each different word encoded once."""
 
     def __init__(self, tokenizer_file: str, end: int | None = END):
+        # One thread a task: Spark has the others at work already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(tokenizer_file)
         self.library.no_truncation()
         self.library.no_padding()
         self.end = b"" if end is None else np.int32(end).tobytes()
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         cut = re.search(r'"pre_tokenizer":\{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":(?:true|false),"use_regex":true\}', self.library.to_str())
         self.cuts = bool(cut) and self.library.normalizer is None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes of little-endian integers, from the library alone."""
         out = []
-        for texts in _batches(texts):
-            out += [np.array(e.ids, dtype="<i4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        for some in _batches(texts):
+            out += [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
     def words(self, words: list[str]) -> list[bytes]:
-        fresh = [w for w in words if w not in self.cache]
-        made = dict(zip(fresh, self.whole([w.replace(LEAD, " ") for w in fresh]), strict=True))
-        found = [made[w] if w in made else self.cache[w] for w in words]
-        if len(self.cache) + len(made) > CACHE:
-            self.cache.clear()
-        self.cache.update((w, ids) for w, ids in made.items() if len(w) <= CACHED)
+        young, old = self.young, self.old
+        found = [young.get(w) or old.get(w) for w in words]
+        fresh = [i for i, ids in enumerate(found) if not ids]
+        for i, ids in zip(fresh, self.whole([words[i].replace(LEAD, " ") for i in fresh]), strict=True):
+            found[i] = ids
+        young.update((w, ids) for w, ids in zip(words, found, strict=True) if len(w) <= CACHED)
+        if len(young) > CACHE:  # what later batches use again moves on to the next generation
+            self.young, self.old = {}, young
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +92,10 @@ class Encoder:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         n = len(texts)
         unsure = pc.match_substring_regex(texts, _UNSURE) if self.cuts else pa.array(np.ones(n, dtype=bool))
+        for token in self.added:
+            unsure = pc.or_(unsure, pc.match_substring(texts, token))
         marked = pc.replace_substring(pc.replace_substring(pc.if_else(unsure, pa.scalar("", pa.large_string()), texts), " ", " " + LEAD), "\n", " \n ")
+        marked = pc.replace_substring_regex(marked, *_AFTER_LETTERS)
         split = pc.split_pattern(marked, " ")
         parts = pc.dictionary_encode(split.flatten())
         of_word = self.words(parts.dictionary.to_pylist())
@@ -109,11 +124,11 @@ class Encoder:
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
-    """The library keeps much beside the ids, so it gets about BATCH_BYTES at once."""
+    """The library keeps much beside the ids, so it gets little at once."""
     batch, size = [], 0
     for t in texts:
         batch.append(t)
-        size += len(t)
+        size += len(t) + BATCH_BYTES // BATCH_TEXTS
         if size >= BATCH_BYTES:
             yield batch
             batch, size = [], 0
@@ -131,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, text: str = "text", d
         encoder = _ENCODERS.get(tokenizer_file) or _ENCODERS.setdefault(tokenizer_file, Encoder(tokenizer_file))
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in ragged.pieces(batch, limit=4_000_000):
+            for piece in ragged.pieces(batch):
                 ids, offsets = encoder.encode(piece.column("text"))
                 n = len(offsets) - 1
                 arrays = [
@@ -140,6 +155,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, text: str = "text", d
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "shard", "at", "n_ids", "ids"])
                 before += int(offsets[-1])
+        ragged.release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranged = rows.repartitionByRange(*([shards] if shards else []), "doc_id", "text").sortWithinPartitions("doc_id", "text")

@@ -33,7 +33,7 @@ def brute(rows):
     return out
 
 
-ODD = [None, "", " ", "\n", "a", " a", "a ", "a\nb", "\na\n", "a  b", "a \n b", "a\t b", "don't we'll 'S", "x y z", "x  y", "é ü\nß", "<|endoftext|> a", "a <|endoftext|>b", "1234 ١٢ x1y2", "日本 語\n", "a​b c", "\x01 a", "a \x01b", "...! ?\n--", "\u0085 q", "  q"]
+ODD = [None, "", " ", "\n", "a", " a", "a ", "a\nb", "\na\n", "a  b", "a \n b", "a\t b", "don't we'll 'S", "x y z", "x  y", "é ü\nß", "<|endoftext|> a", "b<|endoftext|>.", "it's,we'll.'sx'S", "a <|endoftext|>b", "1234 ١٢ x1y2", "日本 語\n", "a​b c", "\x01 a", "a \x01b", "...! ?\n--", "\u0085 q", "  q"]
 
 
 def test_texts_against_the_library():
@@ -51,7 +51,7 @@ def test_any_text_against_the_library(texts):
 
 
 def test_all_characters_against_the_library():
-    texts = ["ab " + chr(c) + " cd" + chr(c) + "\n" + chr(c) + "e f" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    texts = ["ab " + chr(c) + " cd" + chr(c) + ".x" + chr(c) + "7" + chr(c) + chr(c) + "!" + chr(c) + "\n" + chr(c) + "e f" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
     flat, offsets = ENCODER.encode(pa.array(texts, pa.string()))
     want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     assert [flat[a : b - 1].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
