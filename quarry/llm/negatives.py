@@ -150,7 +150,8 @@ def scan(index: Index, block: Block, same_label: bool, k: int) -> DataFrame:
     reach = F.lit(False)
     for p in np.flatnonzero(index.stats[:, 0] > 0).tolist() if due.any() else []:
         low, high = (block.to_pivot[due, p] - block.upto[due]).min(), (block.to_pivot[due, p] + block.upto[due]).max()
-        reach = reach | ((F.col("pivot") == p) & F.col("dist").between(float(low), float(high)))
+        # A little wider: the tasks decide what lies on the edge of an annulus.
+        reach = reach | ((F.col("pivot") == p) & F.col("dist").between(float(low - 1e-6 * (1 + abs(low))), float(high + 1e-6 * (1 + high))))
 
     def tile(b: Block, rows: slice, state: list[np.ndarray], p: int, dist: np.ndarray, label: np.ndarray, ids: np.ndarray, rids: np.ndarray, v: np.ndarray) -> None:
         gap = np.abs(dist - b.to_pivot[rows, p][:, None])
@@ -207,10 +208,12 @@ def search(index: Index, block: Block, same_label: bool, k: int) -> DataFrame:
     farthest = (block.to_pivot + index.stats[:, 2])[:, index.stats[:, 0] > 0].max(axis=1, initial=0) + slack
     # No result of a band lies beyond the distance of its lowest score; an empty band needs none.
     need = np.where(block.lo <= block.hi, np.minimum(to_distance(np.maximum(block.lo, -(2.0**52))), farthest[:, None]), -1.0)
-    home = block.to_pivot.argmin(axis=1)
-    count, low, high = index.stats[home].T
-    step = np.maximum((high - low) * FIRST / np.maximum(count, 1) / 2, slack)
-    block = block._replace(after=np.full(n, -1.0), upto=np.minimum(step, need.max(axis=1)))
+    # The first annulus reaches into the pivot whose keys are nearest to the query's.
+    count, low, high = index.stats.T
+    outside = np.where(count > 0, np.maximum(np.maximum(low - block.to_pivot, block.to_pivot - high), 0), np.inf)
+    home = outside.argmin(axis=1)
+    step = np.maximum((high - low)[home] * FIRST / np.maximum(count[home], 1) / 2, slack)
+    block = block._replace(after=np.full(n, -1.0), upto=np.minimum(outside.min(axis=1, initial=farthest.max(initial=0)) + step, need.max(axis=1)))
     found: DataFrame | None = None
     while True:
         new = scan(index, block, same_label, k)
@@ -226,8 +229,9 @@ def search(index: Index, block: Block, same_label: bool, k: int) -> DataFrame:
         left = bound > block.upto[:, None]
         if not left.any():
             return found
-        # A full band says how far its search must go; others go on twice as far.
-        reach = np.where(least > -(2.0**60), bound, np.minimum(bound, np.maximum(block.upto, step)[:, None] * 2))
+        # A full band says how far its search must go; others go on in doubling steps.
+        step = step * 2
+        reach = np.where(least > -(2.0**60), bound, np.minimum(bound, (block.upto + step)[:, None]))
         # Nothing more is due for anchors that are certified.
         upto = np.where(left.any(axis=1), np.where(left, reach, -1.0).max(axis=1), block.upto)
         block = block._replace(least=least, after=block.upto, upto=upto)
