@@ -355,8 +355,8 @@ def _searcher(shared, schema):
 
 
 def accept(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that match no item, all columns kept; rows with a null id are dropped only if such a row matches."""
-    gone = work.save(search(docs, benchmark, text, doc_id).select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
+    """The rows that match no item, all columns kept; rows of one id, or of none, are judged by their own texts."""
+    known = work.identified(docs, text, doc_id, nulls=True)
+    gone = work.save(search(known.rows.select("uid", "text"), benchmark, "text", "uid").select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
     few = gone.count() <= BROADCAST_IDS
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return wrapped.join(F.broadcast(gone) if few else gone, F.col("row")[doc_id].eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    return known.rows.select("row", "uid").join(F.broadcast(gone) if few else gone, F.col("uid") == F.col("gone"), "left_anti").select("row.*")

@@ -15,7 +15,8 @@ force is measured in the tests and the README.
 Defined results: documents without words are copies of each other (null, empty
 and blank texts alike); texts of one to four words link only to equal words; the
 least id of a class stands for it; rows with a null id are never linked and have
-a null class; repeated rows share their class, and `accept` keeps one of them;
+a null class; repeated rows share their class, and `accept` keeps one of them; different
+texts of one id are judged each for itself, and no class goes without a row that stays;
 an empty table gives no rows; other columns pass through `accept` whatever their
 names.  Groups: only ids, keys and sketches are grouped, aggregated before each
 shuffle; a bucket of n members makes n - 1 pairs at first, and while it spans
@@ -266,23 +267,31 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     return signed, found.unionByName(more), labels
 
 
-def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, class_id, copies (rows with equal words) for every row."""
-    signed, _, labels = links(docs, text, doc_id)
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id, class_id, copies of rows (uid, text), ids and classes being uids."""
+    signed, _, labels = links(rows, "text", "uid")
     groups = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = groups.join(labels, "node", "left").select("t1", "t2", F.coalesce("label", "node").alias("class_id"), "copies")
     return signed.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copies")
 
 
+def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, class_id (the least id of the class), copies (rows with equal words) for every row."""
+    known = work.identified(docs, text, doc_id)
+    found = _classes(known.rows.select("uid", "text"))
+    if known.names is None:
+        return found
+    found = known.named(work.save(found, "near-classes").withColumn("class_uid", F.col("class_id")), "doc_id")
+    least = found.groupBy("class_uid").agg(F.min("doc_id").alias("class_id")).where("class_uid IS NOT NULL")
+    return found.drop("class_id").join(least, "class_uid", "left").select("doc_id", "class_id", "copies")
+
+
 def accept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that stand for their class, all columns kept."""
-    classes = classify(docs, text, doc_id)
-    gone = work.save(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    """One row of each class, all columns kept: that of the least id, or one of those whose id has several texts; rows with a null id all stay."""
+    known = work.identified(docs, text, doc_id)
+    gone = work.save(_classes(known.rows.select("uid", "text")).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
     few = gone.count() <= BROADCAST_IDS
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = wrapped.join(F.broadcast(gone) if few else gone, F.col("row")[doc_id] == F.col("gone"), "left_anti")
-    repeated = docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 AND id IS NOT NULL")
-    if not repeated.isEmpty():
-        named = kept.select("row", F.col("row")[doc_id].cast("string").alias("id"))
-        kept = named.where("id IS NULL").select("row").unionByName(named.where("id IS NOT NULL").dropDuplicates(["id"]).select("row"))
+    kept = known.rows.select("row", "uid").join(F.broadcast(gone) if few else gone, F.col("uid") == F.col("gone"), "left_anti")
+    if not known.rows.groupBy("uid").count().where("count > 1 AND uid IS NOT NULL").isEmpty():
+        kept = kept.where("uid IS NULL").unionByName(kept.where("uid IS NOT NULL").dropDuplicates(["uid"]))
     return kept.select("row.*")

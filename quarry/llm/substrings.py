@@ -14,8 +14,8 @@ occurrence, up to SPREAD before and after, so a passage that repeats goes from i
 first word to its last.  A document's removals merge into spans.
 
 Defined results: texts of fewer than LENGTH words, null and empty ones have no
-paragraphs; rows with a null id are not compared; repeated rows are one
-document; repeats inside a document count too; ties go to the least id and
+paragraphs; rows with a null id are not compared; equal rows are one
+document, different texts of one id are documents of their own; repeats inside a document count too; ties go to the least id and
 place; other columns pass through `cut`.  Equal paragraphs, however many, are
 one row per task before any shuffle by class or band; nothing is collected but
 counts.
@@ -299,7 +299,18 @@ def near_links(docs: DataFrame, paras: DataFrame, classes: DataFrame, text: str,
 
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, spans (array of struct(start, end) in words), n_removed (words), kept_in (ids where the text stays), for documents that lose text."""
+    """doc_id, spans (array of struct(start, end) in words), n_removed (words), kept_in (ids where the text stays), uid, for
+    documents that lose text; uid is the id, but tells the texts of one id apart (see work.identified)."""
+    known = work.identified(docs, text, doc_id)
+    found = _removals(known.rows.select("uid", "text"), "text", "uid").withColumn("uid", F.col("doc_id"))
+    if known.names is None:
+        return found
+    found = work.save(found, "removals")
+    kept = known.named(found.select("uid", F.explode("kept_in").alias("kept")), "kept").groupBy("uid").agg(F.sort_array(F.collect_set("kept")).alias("kept_in"))
+    return known.named(found.drop("kept_in").join(kept, "uid"), "doc_id").select("doc_id", "spans", "n_removed", "kept_in", "uid")
+
+
+def _removals(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     paras = work.save(paragraphs(docs, text, doc_id), "paragraphs")
     classes = work.save(paras.groupBy("ph").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")), "paragraph-classes")
     labels = work.save(components(near_links(docs, paras, classes, text, doc_id)), "paragraph-labels")
@@ -358,9 +369,9 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame, removed: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """row (a struct of the input's columns) and kept, the text without its removed spans, for every row."""
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = wrapped.join(removed.select(F.col("doc_id").alias("id"), "spans"), F.col("row")[doc_id] == F.col("id"), "left")
-    rows = rows.select("row", F.col("row")[text].cast("string").alias("text"), F.transform("spans", lambda s: s["start"]).alias("start"), F.transform("spans", lambda s: s["end"]).alias("end"))
+    wrapped = work.identified(docs, text, doc_id).rows
+    rows = wrapped.join(removed.select(F.col("uid").alias("of"), "spans"), F.col("uid") == F.col("of"), "left")
+    rows = rows.select("row", "text", F.transform("spans", lambda s: s["start"]).alias("start"), F.transform("spans", lambda s: s["end"]).alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
