@@ -39,8 +39,8 @@ from . import ragged, work
 
 END = 2
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 32 << 20, 1000, 0.01
-#: Words of a generation kept between batches, and the longest that are.
-CACHE, CACHED = 300_000, 64
+#: Words kept between batches, and the most ids of one that is.
+CACHE, CACHED = 600_000, 64
 #: Characters and texts that the library gets at once.
 BATCH_BYTES, BATCH_TEXTS = 500_000, 5000
 IDS = "doc_id long, shard int, at long, n_ids long, ids array<int>"
@@ -63,8 +63,10 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.end = b"" if end is None else np.int32(end).tobytes()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # Words that the library has encoded: their ids lie in the pool.
+        self.known = pa.array([], pa.large_string())
+        self.pool = np.zeros(0, dtype="<i4")
+        self.starts, self.sizes, self.used, self.round = *(np.zeros(0, dtype=np.int64) for _ in range(3)), 0
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         cut = re.search(r'"pre_tokenizer":\{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":(?:true|false),"use_regex":true\}', self.library.to_str())
         self.cuts = bool(cut) and self.library.normalizer is None
@@ -76,16 +78,34 @@ class Encoder:
             out += [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
-    def words(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        found = [young.get(w) or old.get(w) for w in words]
-        fresh = [i for i, ids in enumerate(found) if not ids]
-        for i, ids in zip(fresh, self.whole([words[i].replace(LEAD, " ") for i in fresh]), strict=True):
-            found[i] = ids
-        young.update((w, ids) for w, ids in zip(words, found, strict=True) if len(w) <= CACHED)
-        if len(young) > CACHE:  # what later batches use again moves on to the next generation
-            self.young, self.old = {}, young
-        return found
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start in the pool and number of the ids of each of the (different) words."""
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1), dtype=np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = words.take(pa.array(fresh))
+            made = self.whole(pc.replace_substring(new, LEAD, " ").to_pylist())
+            size = np.fromiter((len(b) // 4 for b in made), dtype=np.int64, count=len(made))
+            at[fresh] = len(self.known) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, new])
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(size) - size])
+            self.sizes = np.concatenate([self.sizes, size])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), dtype="<i4")])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), dtype=np.int64)])
+        self.round += 1
+        self.used[at] = self.round
+        return self.starts[at], self.sizes[at]
+
+    def forget(self) -> None:
+        """Beyond CACHE words or the pool's bound, the half that was used last stays."""
+        if len(self.known) <= CACHE and len(self.pool) <= 16 * CACHE:
+            return
+        kept = np.sort(np.argsort(self.used, kind="stable")[-(CACHE // 2) :])
+        kept = kept[self.sizes[kept] <= CACHED]
+        size = self.sizes[kept]
+        starts = np.cumsum(size) - size
+        self.pool = self.pool[np.repeat(self.starts[kept] - starts, size) + np.arange(size.sum())]
+        self.known, self.starts, self.sizes, self.used = self.known.take(pa.array(kept)), starts, size, self.used[kept]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the texts' offsets in them."""
@@ -98,10 +118,7 @@ class Encoder:
         marked = pc.replace_substring_regex(marked, *_AFTER_LETTERS)
         split = pc.split_pattern(marked, " ")
         parts = pc.dictionary_encode(split.flatten())
-        of_word = self.words(parts.dictionary.to_pylist())
-        sizes = np.fromiter((len(b) // 4 for b in of_word), dtype=np.int64, count=len(of_word))
-        flat = np.frombuffer(b"".join(of_word), dtype="<i4")
-        starts = np.cumsum(sizes) - sizes
+        starts, sizes = self.words(parts.dictionary)
         code = np.asarray(parts.indices, dtype=np.int64)
         row = np.repeat(np.arange(n), np.diff(np.asarray(split.offsets, dtype=np.int64)))
         long = np.flatnonzero(np.asarray(unsure))
@@ -115,11 +132,12 @@ class Encoder:
         before = np.cumsum(each) - each
         first = np.concatenate([[0], np.cumsum(np.bincount(row, each, minlength=n).astype(np.int64))])[:-1]
         at = np.repeat(offsets[:-1][row] - first[row], each) + np.arange(each.sum())
-        out[at] = flat[np.repeat(starts[code] - before, each) + np.arange(each.sum())]
+        out[at] = self.pool[np.repeat(starts[code] - before, each) + np.arange(each.sum())]
         for i, ids in zip(long, own, strict=True):
             out[offsets[i] : offsets[i] + len(ids) // 4] = np.frombuffer(ids, dtype="<i4")
         if self.end:
             out[offsets[1:] - 1] = np.frombuffer(self.end, dtype="<i4")[0]
+        self.forget()
         return out, offsets
 
 
@@ -158,7 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, text: str = "text", d
         ragged.release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(*([shards] if shards else []), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange(*([shards] if shards else []), "doc_id").sortWithinPartitions("doc_id", "text")
     options = {
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_POSITIVES, "orc.create.index": "true",
         "orc.row.index.stride": stride, "orc.stripe.size": stripe_bytes, "compression": "zstd",

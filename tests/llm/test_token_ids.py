@@ -113,3 +113,13 @@ def test_query_against_the_library(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == brute(rows)
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_ids, "CACHE", 40)
+    encoder, r = token_ids.Encoder(FILE), random.Random(2)
+    for _ in range(12):
+        texts = [" ".join(f"w{r.randrange(60)}" for _ in range(20)) + " " + "x" * 300 for _ in range(3)]
+        flat, offsets = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [ids(t) for t in texts]
+        assert len(encoder.known) <= 40 == token_ids.CACHE and len(set(encoder.known.to_pylist())) == len(encoder.known)
