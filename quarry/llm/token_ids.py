@@ -41,6 +41,7 @@ END = 2
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 32 << 20, 1000, 0.01
 #: Words kept between batches, and the most ids of one that is.
 CACHE, CACHED = 600_000, 64
+PIECE_BYTES = 4_000_000
 #: Characters and texts that the library gets at once.
 BATCH_BYTES, BATCH_TEXTS = 500_000, 5000
 IDS = "doc_id long, shard int, at long, n_ids long, ids array<int>"
@@ -164,7 +165,8 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, text: str = "text", d
         encoder = _ENCODERS.get(tokenizer_file) or _ENCODERS.setdefault(tokenizer_file, Encoder(tokenizer_file))
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in ragged.pieces(batch):
+            # A piece looks up its different words at once, which costs a pass over the known ones.
+            for piece in ragged.pieces(batch, limit=PIECE_BYTES):
                 ids, offsets = encoder.encode(piece.column("text"))
                 n = len(offsets) - 1
                 arrays = [
