@@ -40,8 +40,8 @@ from . import ragged, work
 END = 2
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 32 << 20, 1000, 0.01
 #: Words kept between batches, and the most ids of one that is.
-CACHE, CACHED = 600_000, 64
-PIECE_BYTES = 4_000_000
+CACHE, CACHED = 500_000, 64
+PIECE_BYTES = 2_000_000
 #: Characters and texts that the library gets at once.
 BATCH_BYTES, BATCH_TEXTS = 500_000, 5000
 IDS = "doc_id long, shard int, at long, n_ids long, ids array<int>"
