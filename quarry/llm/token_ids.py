@@ -40,7 +40,7 @@ from . import ragged, work
 END = 2
 STRIPE_BYTES, STRIDE, FALSE_POSITIVES = 32 << 20, 1000, 0.01
 #: Words kept between batches, and the most ids of one that is.
-CACHE, CACHED = 500_000, 64
+CACHE, CACHED = 300_000, 64
 PIECE_BYTES = 2_000_000
 #: Characters and texts that the library gets at once.
 BATCH_BYTES, BATCH_TEXTS = 500_000, 5000
@@ -49,7 +49,12 @@ LEAD = "\x01"
 #: Two adjacent blanks, or a character that may be white space in its own right (the lead mark too): no cut is sure there.
 _UNSURE = r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 #: Letters end where an ASCII digit or sign follows them.
-_AFTER_LETTERS = (r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-@\[-`{-~])", r"\1 \2")
+_LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+_AFTER_LETTERS = (rf"({_LETTER})([!-@\[-`{{-~])", r"\1 \2")
+_LETTERS = rf"^ ?{_LETTER}+$"
+#: Byte-level BPE writes bytes as characters: printable ones as themselves, the others, in order, as those from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Encoder:
@@ -79,13 +84,29 @@ class Encoder:
             out += [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
+    def apart(self, words: pa.Array) -> list[bytes]:
+        """Ids of words; letters after at most one space are one pre-token, which the library's model takes as it is."""
+        single = np.asarray(pc.match_substring_regex(words, _LETTERS))
+        texts, out, model = words.to_pylist(), [b""] * len(words), self.library.model
+        # In ASCII only the space is written otherwise.
+        shown = pc.replace_substring(words, " ", chr(_ALPHABET[0x20])).to_pylist()
+        plain = np.asarray(pc.string_is_ascii(words))
+        for i in np.flatnonzero(single & ~plain).tolist():
+            shown[i] = texts[i].encode().decode("latin-1").translate(_ALPHABET)
+        for i in np.flatnonzero(single).tolist():
+            out[i] = array("i", [t.id for t in model.tokenize(shown[i])]).tobytes()
+        rest = np.flatnonzero(~single).tolist()
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Start in the pool and number of the ids of each of the (different) words."""
         at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1), dtype=np.int64)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
             new = words.take(pa.array(fresh))
-            made = self.whole(pc.replace_substring(new, LEAD, " ").to_pylist())
+            made = self.apart(pc.replace_substring(new, LEAD, " "))
             size = np.fromiter((len(b) // 4 for b in made), dtype=np.int64, count=len(made))
             at[fresh] = len(self.known) + np.arange(len(fresh))
             self.known = pa.concat_arrays([self.known, new])
