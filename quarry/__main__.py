@@ -42,10 +42,10 @@ def main(argv: list[str] | None = None) -> int:
         service.rerank = reranker(HttpReranker(a.embedding_url, key, top=config.rerank_top), asked)
     extensions = [e.strip() for e in a.extensions.split(",") if e.strip()]
     if a.command == "index":
-        planned, _ = service.plan(a.target, a.store, a.project, extensions, a.force)
+        planned = service.plan(a.target, a.store, a.project, extensions, a.force)
         if a.export_plan:
-            sync.export(planned, a.export_plan)
-        done = sync.counters(planned) if a.dry_run else service.index(a.target, a.store, a.project, extensions, a.force)
+            sync.export(planned[0], a.export_plan)
+        done = sync.counters(planned[0]) if a.dry_run else service.index(a.target, a.store, a.project, extensions, a.force, planned)
         print(json.dumps(done.first().asDict()))
     elif a.command == "status":
         planned, _ = service.plan(a.target, a.store, a.project, extensions)

@@ -41,10 +41,11 @@ def source_key() -> Column:
     return F.coalesce(T.first_filled("doc_path", "source", "filename"), F.lit("__unknown__"))
 
 
-def cap_per_file(candidates: DataFrame, n: int) -> DataFrame:
-    """The first n of each (qid, source) in order of pos."""
+def cap_per_file(candidates: DataFrame, n: int, free: Column | None = None) -> DataFrame:
+    """The first n of each (qid, source) in order of pos; rows that are free all stay."""
     order = Window.partitionBy("qid", "_source").orderBy("pos")
-    return candidates.withColumn("_source", source_key()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_source")
+    kept = F.col("_n") <= n if free is None else free | (F.col("_n") <= n)
+    return candidates.withColumn("_source", source_key()).withColumn("_n", F.row_number().over(order)).where(kept).drop("_n", "_source")
 
 
 def dedup_by_source(candidates: DataFrame) -> DataFrame:
@@ -133,10 +134,12 @@ def search(
     pool = renumber(pool, "first", "pos").join(chunks.drop("embedding"), "chunk_id")
     if mode != "lexical":
         # Queries that symbols alone answer skip the limits per file.
-        alone, rest = pool.where("mode = 'symbol'"), renumber(cap_per_file(pool.where("mode <> 'symbol'"), config.max_per_file))
+        alone = F.col("mode") == "symbol"
         if config.rerank_enabled and rerank is not None:
+            rest = renumber(cap_per_file(pool.where(~alone), config.max_per_file))
             rest = rerank(rest.where(F.col("pos") <= config.rerank_candidates), config.rerank_top)
+            pool = pool.where(alone).unionByName(dedup_by_source(rest))
         else:
-            rest = rest.where(F.col("pos") <= n)
-        pool = alone.unionByName(dedup_by_source(rest))
+            pool = renumber(cap_per_file(pool, config.max_per_file, alone)).where(alone | (F.col("pos") <= n))
+            pool = cap_per_file(pool, 1, alone)
     return renumber(pool).where(F.col("pos") <= n)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import Config
@@ -17,38 +21,78 @@ from . import filters as flt
 TIER_SCORES = (1.0, 0.95, 0.8)
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int, config: Config | None = None, filters: Mapping[str, str] | None = None) -> DataFrame:
+class NameIndex(NamedTuple):
+    """Posting lists of the different symbol names: postings (gram, symbol_name) and sizes (gram, n)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+    def write(self, path: str) -> NameIndex:
+        """As Parquet in order of gram, so that a query's grams prune the scan."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("gram").sortWithinPartitions("gram", "symbol_name").write.mode("overwrite").parquet(f"{path}/postings")
+        postings = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
+        postings.groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+        return NameIndex.read(spark, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> NameIndex:
+        return NameIndex(spark.read.schema("gram string, symbol_name string").parquet(f"{path}/postings"), spark.read.schema("gram string, n long").parquet(f"{path}/sizes"))
+
+
+def name_index(chunks: DataFrame) -> NameIndex:
+    """Grams of one to three characters of every name in lower case, and a gram for each length that it reaches."""
+    names = chunks.where("symbol_name IS NOT NULL").select("symbol_name").distinct()
+    low = F.lower("symbol_name")
+    reach = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), _length_gram)
+    postings = names.select(F.explode(F.concat(F.array_distinct(F.concat(*[grams(low, n) for n in (1, 2, 3)])), reach)).alias("gram"), "symbol_name")
+    return NameIndex(postings, postings.groupBy("gram").agg(F.count("*").alias("n")))
+
+
+def _length_gram(n: Column) -> Column:
+    return F.concat(F.lit("#"), n.cast("string"), F.lit("#"))
+
+
+def matching(index: NameIndex, asked: DataFrame) -> DataFrame:
+    """(qid, q, symbol_name) of the names that hold q in any case, `_` standing for any character, for asked (qid, q).
+
+    A query meets the names of its rarest gram: three characters without a wildcard where it has them, else fewer; one of
+    wildcards alone meets the names that are long enough."""
+    low = F.lower("q")
+    pieces = F.filter(F.split(low, "_"), lambda p: p != "")
+    longest = F.least(F.array_max(F.transform(pieces, F.length)), F.lit(3))
+    of_n = lambda n: F.flatten(F.transform(pieces, lambda p: grams(p, n)))
+    own = F.when(F.size(pieces) == 0, F.array(_length_gram(F.length(low)))).when(longest == 3, of_n(3)).when(longest == 2, of_n(2)).otherwise(of_n(1))
+    wanted = asked.select("qid", "q", F.explode(F.array_distinct(own)).alias("gram"))
+    # A gram that no name has leaves the query without names.
+    sized = wanted.join(index.sizes, "gram", "left").groupBy("qid", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return index.postings.join(sized, "gram").select("qid", "q", "symbol_name").where(F.expr("symbol_name ILIKE concat('%', q, '%')"))
+
+
+def search(chunks: DataFrame, queries: DataFrame, limit: int, config: Config | None = None, filters: Mapping[str, str] | None = None, index: NameIndex | None = None) -> DataFrame:
     """(qid, chunk_id, score, tier, rank) for the queries that are identifiers.
 
-    Exact and case-insensitive matches are an equality join and share one cap.
-    Substring matches have their own, which rows of better tiers use up too: the
-    different names meet a query by its first trigram without a wildcard, and the few candidates are tested whole; only queries without such a
-    trigram are compared with every name."""
+    Exact and case-insensitive matches share one cap; substring matches have their own, which rows of better tiers use up
+    too.  All of them hold the query, so one look into the names' grams (index, or made here) finds them; index may cover
+    more names than chunks has."""
     config = config or Config()
     asked = queries.where(T.is_symbol_query(F.col("query"))).select("qid", F.trim("query").alias("q"))
     rows = chunks.where(flt.condition(filters or {})).where("symbol_name IS NOT NULL").select("chunk_id", "symbol_name")
     name, q = F.col("symbol_name"), F.col("q")
-    same = rows.join(asked, F.lower(name) == F.lower(q)).withColumn("tier", F.when(name == q, 1).otherwise(2))
-    names = rows.select("symbol_name").distinct()
-    keyed = asked.withColumn("gram", F.get(F.filter(trigrams(q), lambda g: ~F.contains(g, F.lit("_"))), F.lit(0)))
-    likely = names.select("symbol_name", F.explode(F.array_distinct(trigrams(name))).alias("gram")).join(keyed.where("gram IS NOT NULL"), "gram").select("qid", "q", "symbol_name")
-    short = names.join(keyed.where("gram IS NULL").select("qid", "q"))
-    like = likely.unionByName(short.select("qid", "q", "symbol_name")).where(F.expr("symbol_name ILIKE concat('%', q, '%')"))
-    hits = same.select("qid", "chunk_id", "tier")
-    fuzzy = rows.join(like.select("qid", "symbol_name"), "symbol_name").select("qid", "chunk_id")
-    exact = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("n") <= min(limit, config.symbol_exact_limit))
-    near = fuzzy.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("n") <= min(limit, config.symbol_fuzzy_limit))
-    near = near.join(exact.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").withColumn("tier", F.lit(3))
-    columns = ["qid", "chunk_id", "tier"]
-    found = exact.select(columns).unionByName(near.select(columns))
+    held = matching(index or name_index(rows), asked).select("qid", "symbol_name", F.when(name == q, 1).when(F.lower(name) == F.lower(q), 2).otherwise(3).alias("tier"))
+    hits = rows.join(held, "symbol_name").select("qid", "chunk_id", "tier")
+    exact = hits.where("tier < 3").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("n") <= min(limit, config.symbol_exact_limit))
+    near = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("n") <= min(limit, config.symbol_fuzzy_limit))
+    # Of a row that both have the better tier stays.
+    both = exact.select("qid", "chunk_id", "tier").unionByName(near.select("qid", "chunk_id", F.lit(3).alias("tier")))
+    found = both.groupBy("qid", "chunk_id").agg(F.min("tier").alias("tier"))
     scored = found.withColumn("score", F.element_at(F.array(*[F.lit(s) for s in TIER_SCORES]), F.col("tier")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("tier", "chunk_id"))).where(F.col("rank") <= limit)
 
 
-def trigrams(text: Column) -> Column:
-    """Every three characters of the lower-cased text, in order; none for shorter ones."""
-    low = F.lower(text)
-    return F.when(F.length(low) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
+def grams(text: Column, n: int) -> Column:
+    """Every n characters of the text, in order; none for shorter ones."""
+    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))))
 
 
 # ---- symbol rows: file_id, name, kind (def or ref), type, line, end_line, column
@@ -89,31 +133,93 @@ def summary(rows: DataFrame) -> DataFrame:
 def find(rows: DataFrame, dotted: str, near_line: int | None = None) -> DataFrame:
     """Definitions of the last name that lie inside definitions of the names before it; the first enclosing one counts.
 
-    A self-join by file and name with a containment test, once per qualifier."""
+    One sort and one sweep a file for each qualifier: of spans in order of start, the first that reaches the end is where
+    the running maximum of ends does."""
     *parents, target = dotted.split(".")
-    defs = rows.where("kind = 'def'")
-    found = defs.where(F.col("name") == target).withColumns({"cur_line": F.col("line"), "cur_end": F.col("end_line"), "cur_name": F.col("name")})
-    for parent in reversed(parents):
-        outer = defs.where(F.col("name") == parent).select("file_id", F.col("name").alias("p_name"), F.col("line").alias("p_line"), F.col("end_line").alias("p_end"))
-        inside = (F.col("p_line") <= F.col("cur_line")) & (F.col("p_end") >= F.col("cur_end"))
-        other = ~((F.col("p_line") == F.col("cur_line")) & (F.col("p_end") == F.col("cur_end")) & (F.col("p_name") == F.col("cur_name")))
-        keys = [c for c in rows.columns]
-        first = F.min(F.struct("p_line", "p_end")).alias("p")
-        found = found.join(outer, "file_id").where(inside & other).groupBy(*keys).agg(first).select(*keys, F.col("p.p_line").alias("cur_line"), F.col("p.p_end").alias("cur_end"), F.lit(parent).alias("cur_name"))
-    found = found.select(*rows.columns)
+    named = rows.where(F.col("kind") == "def").where(F.col("name").isin([target, *parents]))
+
+    def enclosed(table: pa.Table) -> pa.Table:
+        name = np.asarray(table["name"].combine_chunks().to_numpy(zero_copy_only=False), dtype=object)
+        line, end = (np.asarray(table[c], dtype=np.int64) for c in ("line", "end_line"))
+        at = np.flatnonzero(name == target)
+        span = np.stack([line[at], end[at]])
+        inner = target
+        for parent in reversed(parents):
+            mine = np.unique(np.stack([line[name == parent], end[name == parent]]), axis=1)  # in order of start, then end
+            place, ok = first_enclosing(mine, span, parent == inner)
+            at, span, inner = at[ok], mine[:, place[ok]], parent
+        return table.take(pa.array(at))
+
+    found = named if not parents and target else named.groupBy("file_id").applyInArrow(enclosed, named.schema)
     by = [F.abs(F.col("line") - near_line)] if near_line is not None else []
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(*by, "line", "column")))
 
 
+def first_enclosing(outer: np.ndarray, inner: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the outer spans (sorted starts and ends) that encloses each inner one, and whether there is one; other leaves equal spans out."""
+    if not outer.shape[1]:
+        return np.zeros(inner.shape[1], dtype=np.int64), np.zeros(inner.shape[1], dtype=bool)
+    last = outer.shape[1] - 1
+    place = np.searchsorted(np.maximum.accumulate(outer[1]), inner[1])
+    if other:  # equal to the span itself: the next in order is longer or starts later
+        same = (outer[:, np.minimum(place, last)] == inner).all(axis=0) & (place <= last)
+        place = place + same
+    here = outer[:, np.minimum(place, last)]
+    return np.minimum(place, last), (place <= last) & (here[0] <= inner[0]) & (here[1] >= inner[1])
+
+
+def innermost(blocks: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The place of the shortest of blocks (start, end, rank of ties) that encloses each of spans (start, end), -1 for none.
+
+    Blocks enter in order of start; a tree over their ends keeps the shortest of those that reach an end, so a file costs
+    its blocks and spans times a logarithm, nested or not."""
+    ends = np.unique(blocks[1])
+    n = len(ends)
+    out = np.full(spans.shape[1], -1, dtype=np.int64)
+    if not n:
+        return out
+    order = np.lexsort((blocks[2], blocks[1] - blocks[0]))
+    short = np.empty(len(order), dtype=np.int64)
+    short[order] = np.arange(len(order))  # by length, then rank
+    tree = [len(order)] * (n + 1)
+    enter = np.argsort(blocks[0], kind="stable").tolist()
+    slot = (n - np.searchsorted(ends, blocks[1])).tolist()  # the farthest end first
+    reach = (n - np.searchsorted(ends, spans[1])).tolist()
+    starts, place, k = blocks[0].tolist(), short.tolist(), 0
+    for q in np.argsort(spans[0], kind="stable").tolist():
+        while k < len(enter) and starts[enter[k]] <= spans[0, q]:
+            i, rank = slot[enter[k]], place[enter[k]]
+            while i <= n:
+                tree[i] = min(tree[i], rank)
+                i += i & -i
+            k += 1
+        best, i = len(order), reach[q]
+        while i > 0:
+            best = min(best, tree[i])
+            i -= i & -i
+        if best < len(order):
+            out[q] = order[best]
+    return out
+
+
 def assign_anchors(blocks: DataFrame, anchors: DataFrame, keep: int = 16) -> DataFrame:
     """file_id, block, start, end, kind, priority, rank: each anchor in its innermost block, the best `keep` of a block.
 
     blocks: file_id, block, start, end; anchors: file_id, start, end, kind, priority.
     An anchor must begin after its block does; of anchors with one span the highest priority stays."""
-    b = blocks.select("file_id", "block", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    of = dict(blocks.dtypes)["block"]
     spans = anchors.groupBy("file_id", "start", "end").agg(F.max_by("kind", "priority").alias("kind"), F.max("priority").alias("priority"))
-    held = spans.join(b, "file_id").where("b_start <= start AND b_end >= end")
-    inner = held.withColumn("_n", F.row_number().over(Window.partitionBy("file_id", "start", "end").orderBy(F.col("b_end") - F.col("b_start"), "block"))).where("_n = 1 AND start > b_start")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in spans.dtypes)
+
+    def held(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        b = np.stack([np.asarray(right[c], dtype=np.int64) for c in ("start", "end")])
+        rank = np.asarray(pc.rank(right["block"].combine_chunks(), tiebreaker="first"), dtype=np.int64)
+        s = np.stack([np.asarray(left[c], dtype=np.int64) for c in ("start", "end")])
+        at = innermost(np.vstack([b, rank]), s)
+        good = np.flatnonzero((at >= 0) & (s[0] > b[0][at] if b.shape[1] else False))
+        return left.take(pa.array(good)).append_column("block", right["block"].take(pa.array(at[good])))
+
+    inner = spans.groupBy("file_id").cogroup(blocks.select("file_id", "block", "start", "end").groupBy("file_id")).applyInArrow(held, f"{kinds}, block {of}")
     ranked = inner.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy(F.col("priority").desc(), "start", "end")))
     return ranked.where(F.col("rank") <= keep).select("file_id", "block", "start", "end", "kind", "priority", "rank")
 

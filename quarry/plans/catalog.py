@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.functions import paths
 from quarry.functions import text as T
 from quarry.operators import chunks as chunking
-from quarry.operators import filters, hybrid, lexical, symbols, vector
-from quarry.sources import store
+from quarry.operators import delta, filters, hybrid, lexical, symbols, vector
+from quarry.sources import indexes, staging, store
 
 from . import catalog_sources, sql  # noqa: F401  the other module fills the same registry
 from .registry import ORACLES, QUERIES, query, table
@@ -32,13 +32,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
+def symbol_name() -> Column:
+    return F.concat(F.when(F.col("doc_id") % 2 == 0, "Sym").otherwise("sym"), F.col("doc_id") % 97)
+
+
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"), "left")
     return docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("text").alias("lexical_content"), "embedding",
         F.lit("p").alias("project_id"), F.lit("/r").alias("repo_root"), F.when(F.col("lang") == "en", "code").otherwise("markdown").alias("content_type"),
         F.col("source").alias("doc_path"), "source", F.concat("source", F.lit(".md")).alias("filename"), F.col("lang").alias("language"),
-        F.concat(F.when(F.col("doc_id") % 2 == 0, "Sym").otherwise("sym"), F.col("doc_id") % 97).alias("symbol_name"), F.lit("module").alias("chunk_type"),
+        symbol_name().alias("symbol_name"), F.lit("module").alias("chunk_type"),
         F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"),
     )
 
@@ -169,6 +173,36 @@ def bmx_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(lexical.search(lexical.updated(_index(spark, sf_dir), changed), _one(spark), 10))
 
 
+CHANGED = """SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'reblein license ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE trim(text) <> '' AND doc_id % 11 <> 0"""
+
+
+@query(_lexical_oracle(ITEMS, 10, True, CHANGED))
+def bmx_delta_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written index after three changes: documents added, replaced and removed by runs of their own."""
+    docs = lexical.index_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(None).cast("string").alias("lexical_content"), F.col("text").alias("content")))
+    index = delta.DeltaIndex.build(docs.where("chunk_id % 5 <> 0"), staging.folder(spark, "delta"))
+    index.apply(docs.where("chunk_id % 5 = 0"))
+    index.apply(docs.where("chunk_id % 7 = 0").withColumn("text", F.concat(F.lit("reblein license "), "text")))
+    index.apply(None, docs.where("chunk_id % 11 = 0").select("chunk_id"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return _shown(index.search(items, 10))
+
+
+@query(f"""WITH {sql.index(CHANGED)} SELECT n AS n_docs, n_terms, floor(avgdl * 100 + 0.5) / 100 AS avgdl, {sql.round4('greatest(0.5, least(1.5, avgdl / 100))')} AS alpha,
+{sql.round4('CASE WHEN n = 0 THEN 0.01 ELSE 1 / ln(1.0 + n) END')} AS beta, {sql.round4('idf_max')} AS idf_max FROM c""")
+def corpus_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of an index in the store's catalogue that followed two changes of the store."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("doc_path"), F.col("text").alias("content"), "doc_id").where("trim(content) <> ''")
+    kept = store.Store(spark, staging.folder(spark, "indexed")).ensure()
+    kept.append(docs, "s", "p")
+    catalogue = indexes.Catalogue(kept)
+    catalogue.get("s", "p")
+    changed = docs.where("doc_id % 7 = 0 AND doc_id % 11 <> 0").withColumn("content", F.concat(F.lit("reblein license "), "content"))
+    kept.upsert(changed, "s", "p", docs.where("doc_id % 11 = 0").select("doc_path"))
+    index, view = catalogue.get("s", "p")
+    return lexical.statistics(index.index(view))
+
+
 IDENTIFIERS = ["getXMLParserById", "rate_limiter", "XMLParser", "HTTP", "HTTPSServer", "plain word", "", "_private get_the", "get_userById camelCase  x", "a__b", "fooBar HTTPServer snake_case_name"]
 
 
@@ -262,7 +296,9 @@ def hybrid_with_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH ch AS MATERIALIZED ({CHUNKS}), qs AS ({SYMBOL_ROWS}) {SYMBOL_CTES} SELECT qid, chunk_id, score, tier, rank FROM sy")
 def symbol_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = symbols.search(chunk_rows(spark, sf_dir), _symbol_queries(spark, sf_dir), 10)
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), symbol_name().alias("symbol_name"))
+    out = symbols.search(rows, spark.createDataFrame(SYMBOL_QUERIES, "qid long, query string"), 10)
     return out.select("qid", "chunk_id", "score", "tier", F.col("rank").cast("long").alias("rank"))
 
 

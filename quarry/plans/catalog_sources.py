@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quarry.functions import paths
 from quarry.operators import chunks as chunking
 from quarry.operators import filters, symbols
-from quarry.sources import staging, store, sync
+from quarry.sources import files, layout, staging, store, sync
+from quarry.streaming import ingest
 
 from . import sql
 from .registry import query, table
@@ -293,3 +294,95 @@ def anchors_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_linenumber") * 7 + F.col("l_suppkey") % 5
     marks = items.select(F.col("l_orderkey").alias("file_id"), start.alias("start"), (start + F.col("l_partkey") % 20).alias("end"), F.concat(F.lit("k"), F.col("l_partkey") % 4 % 3).alias("kind"), (F.col("l_partkey") % 4).cast("int").alias("priority"))
     return symbols.assign_anchors(blocks, marks, 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---- versions of the store, and indexes that follow it
+
+
+@query(f"SELECT id, project_id, doc_path, content_hash FROM ({STORED}) ")
+def store_snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version before three changes, read after them."""
+    made = _store(spark, sf_dir)
+    before = made.snapshot().version
+    rows = made.read()
+    made.upsert(rows.where("doc_path IN ('d1', 'd2')").withColumn("content", F.lit("changed")), "s", "p1")
+    made.delete_docs("s", spark.createDataFrame([("d3",), ("d4",)], "doc_path string"))
+    made.delete_project("s", "p2")
+    return made.read(before).select("id", "project_id", "doc_path", "content_hash")
+
+
+@query(f"""SELECT id, project_id, doc_path, CASE WHEN doc_path = 'd2' AND project_id = 'p1' THEN 'changed' ELSE content END AS content FROM ({STORED})
+WHERE doc_path NOT IN ('d3', 'd4')""")
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows after changes whose deletes were folded in."""
+    made = _store(spark, sf_dir)
+    made.upsert(made.read().where("doc_path = 'd2' AND project_id = 'p1'").withColumn("content", F.lit("changed")), "s", "p1")
+    made.delete_docs("s", spark.createDataFrame([("d3",), ("d4",)], "doc_path string"))
+    made.compact()
+    made.vacuum(keep=1, older_s=-1)
+    return made.read().select("id", "project_id", "doc_path", "content")
+
+
+# ---- lookups in bucketed tables, discovery, figures, streams
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> layout.Layout:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("d"), F.col("doc_id") % 50).alias("doc_path"), "source", F.concat(F.when(F.col("doc_id") % 2 == 0, "Sym").otherwise("sym"), F.col("doc_id") % 97).alias("symbol_name"), F.col("text").alias("content"))
+    made = store.Store(spark, staging.folder(spark, "laid-out")).ensure()
+    made.append(rows, "s", "p")
+    laid = layout.Layout(made, 16)
+    laid.publish()
+    return laid
+
+
+@query("""WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'Sym' ELSE 'sym' END) || (doc_id % 97) AS symbol_name FROM documents), q AS (SELECT DISTINCT 'SYM' || (p_size % 100) AS q FROM part UNION SELECT 'sym' || (p_size % 7) FROM part)
+SELECT q, doc_id::VARCHAR AS id, CASE WHEN symbol_name = q THEN 1 ELSE 2 END AS tier FROM q JOIN d ON lower(q) = lower(symbol_name)""")
+def symbol_lookup_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    asked = part.select(F.concat(F.lit("SYM"), F.col("p_size") % 100).alias("q")).unionByName(part.select(F.concat(F.lit("sym"), F.col("p_size") % 7).alias("q"))).distinct().withColumn("qid", F.lit(0))
+    return _laid_out(spark, sf_dir).by_symbol(asked).select("q", "id", "tier")
+
+
+@query("SELECT 'd' || doc_id % 50 AS doc_path, doc_id::VARCHAR AS id, source FROM documents WHERE doc_id % 50 IN (SELECT n_nationkey FROM nation)")
+def by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "nation").select(F.concat(F.lit("d"), "n_nationkey").alias("doc_path"))
+    return _laid_out(spark, sf_dir).by_path(docs).select("doc_path", "id", "source")
+
+
+@query("""SELECT 'src/lang=' || lang AS folder, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS content_hash, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS raw_hash,
+sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length FROM documents GROUP BY lang""")
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written from the documents of each language, found again; copies in skipped folders and other extensions are not."""
+    docs = table(spark, sf_dir, "documents")
+    root = staging.folder(spark, "tree")
+    files_ = docs.select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id")
+    for folder in ("src", "node_modules/src", "src/.git"):
+        files_.write.partitionBy("lang").text(f"{root}/{folder}")
+    files_.limit(1).drop("lang").write.csv(f"{root}/other")
+    found = files.collect(spark, root, ["txt"], None)
+    return found.select(F.regexp_replace("file_id", "/[^/]*$", "").alias("folder"), "content_hash", "raw_hash", "length")
+
+
+@query("""SELECT count(*) FILTER (s = 'ok') AS files_ok, count(*) FILTER (s = 'failed') AS files_failed, count(*) FILTER (s = 'skipped') AS files_skipped, sum(n)::BIGINT AS chunks, sum(b)::BIGINT AS bytes
+FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'skipped' ELSE 'ok' END AS s, doc_id % 4 AS n, strlen(coalesce(text, '')) AS b FROM documents)""")
+def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the pass that writes the rows, seen while they go by."""
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(i.cast("string").alias("doc_path"), F.when(i % 7 == 0, "failed").when(i % 5 == 0, "skipped").otherwise("ok").alias("state"), (i % 4).alias("n_chunks"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"))
+    watched, seen = sync.observed(rows)
+    watched.write.parquet(staging.folder(spark, "ingested"))
+    return spark.createDataFrame([sync.metrics(seen, 1.0)], "files_ok long, files_failed long, files_skipped long, chunks long, bytes long, seconds double, chunks_per_second double, bytes_per_second double").drop("seconds", "chunks_per_second", "bytes_per_second")
+
+
+@query("SELECT 'd' || doc_id % 40 || '.txt' AS doc_path, sha256(arg_max(text, doc_id)) AS content_hash FROM documents WHERE trim(text) <> '' GROUP BY doc_id % 40")
+def stream_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of files that come out of order in micro-batches, one of them twice: the store has the latest of each."""
+    docs = table(spark, sf_dir, "documents").where("trim(text) <> ''")
+    i = F.col("doc_id")
+    name = F.concat(F.lit("/r/d"), i % 40, F.lit(".txt"))
+    versions = docs.select("doc_id", name.alias("file_id"), name.alias("path"), F.col("text").alias("content"), F.lit("/r").alias("repo_root"), F.lit("p").alias("project_id"), F.timestamp_seconds(i).alias("modified"))
+    made = store.Store(spark, staging.folder(spark, "streamed")).ensure()
+    for part in (2, 0, 1, 2):
+        ingest.put(versions.where(F.col("doc_id") % 3 == part).drop("doc_id"), made, "s", "p")
+    return made.read().select("doc_path", "content_hash").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +34,34 @@ def wanted(listed: DataFrame, root: str, extensions: list[str], max_bytes: int |
     return out if max_bytes is None else out.where(F.col("length") <= max_bytes)
 
 
-def listing(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """path (without scheme), length, modified, bytes of the files below root; of the given extensions only, in any case, if any are given."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+def named(extensions: list[str]) -> str:
+    """A glob of the file names with these extensions, in any case."""
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".").lower())
+    return "*.{" + ",".join(map(either, extensions)) + "}"
+
+
+def listing(spark: SparkSession, roots: str | list[str], extensions: list[str] | None = None, recursive: bool = True) -> DataFrame:
+    """uri, path (without scheme), length, modified, bytes of the files below roots; of the given extensions only, in any case, if any are given.
+
+    What a query does not use of them is not read: without bytes it is a listing."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if extensions:
-        either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".").lower())
-        reader = reader.option("pathGlobFilter", "*.{" + ",".join(map(either, extensions)) + "}")
-    files = reader.load(root)
-    return files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"))
+        reader = reader.option("pathGlobFilter", named(extensions))
+    files = reader.load(roots)
+    return files.select(F.col("path").alias("uri"), F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"))
 
 
 def collect(spark: SparkSession, root: str, extensions: list[str], max_bytes: int | None = 204_800) -> DataFrame:
-    """file_id, path, content, content_hash of the wanted files in order of path.
+    """file_id, path, content, content_hash (of the text), raw_hash (of the bytes), length, modified of the wanted files in order of path.
 
-    Other extensions are left out when files are listed and larger files before they are read; files in skipped folders are read and then dropped."""
+    Two phases: a listing names the folders that hold wanted files (the driver gets a row a folder), then those are read,
+    so no byte of a skipped folder, another extension or a larger file is."""
     base = root.rstrip("/").removeprefix("file://")
-    rows = wanted(listing(spark, root, extensions), base, extensions, max_bytes).dropDuplicates(["path"])
-    text = F.decode("bytes", "UTF-8")
-    return rows.select(paths.relative(F.col("path"), F.lit(base)).alias("file_id"), "path", text.alias("content"), F.sha2(F.encode(text, "UTF-8"), 256).alias("content_hash"), "length").orderBy("path")
+    found = wanted(listing(spark, root, extensions), base, extensions, max_bytes)
+    folders = sorted(r[0] for r in found.select(F.regexp_replace("uri", "/[^/]*$", "")).distinct().collect())
+    globs = [re.sub(r"([\[\]{}*?\\,])", r"\\\1", f) + "/" + named(extensions) for f in folders]
+    rows = wanted(listing(spark, globs, extensions, False), base, extensions, max_bytes) if globs else found.limit(0)
+    text = F.make_valid_utf8(F.col("bytes").cast("string"))
+    return rows.dropDuplicates(["path"]).select(
+        paths.relative(F.col("path"), F.lit(base)).alias("file_id"), "path", text.alias("content"), F.sha2(F.encode(text, "UTF-8"), 256).alias("content_hash"), F.sha2("bytes", 256).alias("raw_hash"), "length", "modified"
+    ).orderBy("path")

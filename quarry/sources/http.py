@@ -30,8 +30,8 @@ def _lost(e: Exception) -> bool:
 class HttpEmbedder:
     """Vectors from POST <base>/v1/embeddings, put in order by their index, of `dim` numbers each.
 
-    Calls are tried again after delays when the service is busy or out of reach; each task keeps to its share of the
-    calls a minute (`per_minute`)."""
+    Calls are tried again after delays when the service is busy or out of reach; a refusal (429) slows its task down, and
+    each task keeps to its share of the calls a minute (`per_minute`, divided by services.shared_out)."""
 
     base: str
     key: str
@@ -40,19 +40,27 @@ class HttpEmbedder:
     timeout: float = 120.0
     delays: tuple[float, ...] = (1.0, 3.0)
     per_minute: int = 200
+    window: float = 60.0
     _limiter: RateLimiter | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_limiter": None}  # each Python worker counts its own calls
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        self._limiter = self._limiter or RateLimiter(self.per_minute)
+        self._limiter = limiter = self._limiter or RateLimiter(self.per_minute, window=self.window)
         if not texts:
             return []
 
         def call() -> dict:
-            self._limiter.wait()
-            return post(f"{self.base.rstrip('/')}/v1/embeddings", self.key, {"model": self.model, "input": texts}, self.timeout)
+            limiter.wait()
+            try:
+                answer = post(f"{self.base.rstrip('/')}/v1/embeddings", self.key, {"model": self.model, "input": texts}, self.timeout)
+            except urllib.error.HTTPError as e:
+                if e.code == 429:
+                    limiter.refused()
+                raise
+            limiter.accepted()
+            return answer
 
         found = sorted(retry(call, self.delays, _lost)["data"], key=lambda x: x["index"])
         vectors = [x["embedding"] for x in found]
@@ -78,7 +86,7 @@ class HttpReranker:
     def __call__(self, query: str, texts: list[str]) -> list[float] | None:
         body = {"model": self.model, "query": query, "documents": texts, "top_n": self.top}
         try:
-            answer = retry(lambda: post(f"{self.base.rstrip('/')}/rerank", self.key, body, self.timeout), self.delays, lambda e: True)
+            answer = retry(lambda: post(f"{self.base.rstrip('/')}/rerank", self.key, body, self.timeout), self.delays, _lost)
             out = [math.nan] * len(texts)
             for x in answer.get("results") or []:
                 out[x["index"]] = float(x["relevance_score"])

@@ -5,6 +5,7 @@ them side by side and no text passes through the driver."""
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import time
 from collections.abc import Callable, Iterator
@@ -52,10 +53,10 @@ def retry(call: Callable[[], object], delays: tuple[float, ...], again: Callable
 
 
 class RateLimiter:
-    """At most `per_minute` calls in a minute after a first delay; each refusal doubles the wait, one cool-down, then an end."""
+    """At most `per_minute` calls in a minute (window) after a first delay; each refusal doubles the wait, one cool-down, then an end."""
 
-    def __init__(self, per_minute: int = 200, warm_up: float = 0.0, cool_down: float = 60.0, most_refusals: int = 5, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.per_minute, self.cool_down, self.most_refusals, self.clock, self.sleep = per_minute, cool_down, most_refusals, clock, sleep
+    def __init__(self, per_minute: int = 200, warm_up: float = 0.0, cool_down: float = 60.0, most_refusals: int = 5, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, window: float = 60.0):
+        self.per_minute, self.cool_down, self.most_refusals, self.clock, self.sleep, self.window = per_minute, cool_down, most_refusals, clock, sleep, window
         self.calls: list[float] = []
         self.refusals, self.cooled, self.ready = 0, False, clock() + warm_up
 
@@ -64,9 +65,9 @@ class RateLimiter:
         if now < self.ready:
             self.sleep(self.ready - now)
         now = self.clock()
-        self.calls = [t for t in self.calls if now - t < 60]
+        self.calls = [t for t in self.calls if now - t < self.window]
         if len(self.calls) >= self.per_minute:
-            self.sleep(60 - (now - self.calls[0]))
+            self.sleep(self.window - (now - self.calls[0]))
         self.calls.append(self.clock())
 
     def refused(self) -> None:
@@ -83,9 +84,23 @@ class RateLimiter:
         self.refusals = 0
 
 
+def shared_out(rows: DataFrame, embedder: Embedder) -> tuple[DataFrame, Embedder]:
+    """Rows in lanes, and an embedder for a lane: where it may make `per_minute` calls, each of n lanes makes an n-th of them.
+
+    A lane is one task, so all tasks together keep to the budget, however many run at once."""
+    budget = getattr(embedder, "per_minute", None)
+    if not budget:
+        return rows, embedder
+    lanes = max(1, min(budget, rows.sparkSession.sparkContext.defaultParallelism))
+    own = copy.copy(embedder)
+    own.per_minute = budget // lanes
+    return rows.repartition(lanes), own
+
+
 def embed_missing(rows: DataFrame, embedder: Embedder, batch: int = 48) -> DataFrame:
     """Rows with an embedding wherever it was null, made from semantic_content, else content."""
     schema = rows.schema
+    missing, embedder = shared_out(rows.where("embedding IS NULL"), embedder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -103,7 +118,7 @@ def embed_missing(rows: DataFrame, embedder: Embedder, batch: int = 48) -> DataF
             yield frame
 
     have = rows.where("embedding IS NOT NULL")
-    return have.unionByName(rows.where("embedding IS NULL").mapInPandas(run, schema))
+    return have.unionByName(missing.mapInPandas(run, schema))
 
 
 def reranker(score: Callable[[str, list[str]], list[float] | None], queries: DataFrame) -> Callable[[DataFrame, int], DataFrame]:

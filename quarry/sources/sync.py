@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions import paths
@@ -43,21 +45,37 @@ def status(planned: DataFrame) -> DataFrame:
     return planned.select("doc_path", word[F.col("action")].alias("status")).orderBy("doc_path")
 
 
-def apply(store, planned: DataFrame, chunks: DataFrame, store_id: str, project_id: str) -> None:
-    """Stale documents go, new and changed ones are replaced by their chunks, in one rewrite of the project."""
+def apply(store, planned: DataFrame, chunks: DataFrame, store_id: str, project_id: str, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Stale documents go, new and changed ones are replaced by their chunks, in one version; watch may observe what is written."""
     changed = planned.where("action IN ('new', 'updated', 'forced', 'incomplete')").select("doc_path")
-    store.upsert(chunks.join(changed, "doc_path", "left_semi"), store_id, project_id, planned.where("action = 'stale'").select("doc_path"))
+    store.upsert(watch(chunks.join(changed, "doc_path", "left_semi")), store_id, project_id, planned.where("action = 'stale'").select("doc_path"))
 
 
 def export(planned: DataFrame, path: str) -> None:
     planned.orderBy("doc_path").write.mode("overwrite").json(path)
 
 
+def _figures() -> list[Column]:
+    f = lambda s: F.count_if(F.col("state") == s)
+    return [f("ok").alias("files_ok"), f("failed").alias("files_failed"), f("skipped").alias("files_skipped"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")]
+
+
 def ingest_summary(files: DataFrame) -> DataFrame:
     """One JSON line of figures from rows (doc_path, state, n_chunks, n_bytes), state ok, failed or skipped."""
-    f = lambda s: F.count_if(F.col("state") == s)
-    total = files.agg(f("ok").alias("files_ok"), f("failed").alias("files_failed"), f("skipped").alias("files_skipped"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"))
-    return total.select(F.to_json(F.struct("*")).alias("summary"))
+    return files.agg(*_figures()).select(F.to_json(F.struct("*")).alias("summary"))
+
+
+def observed(files: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows of ingest_summary as they are, counted by whatever job reads them: figures need no pass of their own."""
+    seen = Observation("ingest")
+    return files.observe(seen, *_figures()), seen
+
+
+def metrics(seen: Observation, seconds: float) -> dict[str, float]:
+    """The figures of an observed job that has run, with its rates."""
+    found = dict(seen.get)
+    done = max(seconds, 1e-9)
+    return found | {"seconds": seconds, "chunks_per_second": found["chunks"] / done, "bytes_per_second": found["bytes"] / done}
 
 
 def resolve_project(path: Column, roots: list[str]) -> Column:
