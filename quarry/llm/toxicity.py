@@ -5,9 +5,9 @@ its hashed character n-grams (3, 5 and 7 with word ends); both start from smooth
 rows.  The network reads windows of WINDOW words that overlap by WINDOW - STRIDE
 and cover the whole text; a document's score is its highest window's logit,
 passed through a logistic curve fitted on the training rows.  Everything is
-trained in numpy on the driver, on at most MAX_POSITIVE + MAX_NEGATIVE labelled
-documents (the first of each class by hash), and the fitted arrays, about 1 MB,
-are broadcast.
+trained in numpy, on the driver (`train`) or in one task (`fit`), on at most
+MAX_POSITIVE + MAX_NEGATIVE labelled documents (the first of each class by hash), and
+the fitted arrays, about 1 MB, are broadcast.
 
 Defined results: null and empty texts are one window without words, with the
 score of an all-padding window; repeated rows score alike; a null id is never
@@ -18,6 +18,7 @@ memory is bounded by one piece of a batch; only a single text can exceed that.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
@@ -289,19 +290,40 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[list[str | None], np.ndarray]:
     """Texts and labels of the bounded sample; of equal texts the first by id counts, of the rows of one id the least text."""
+    return _different(sampled(docs, labels, text, doc_id, label).toArrow().to_pylist())
+
+
+def sampled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """doc_id, text, y of the sample: MAX_POSITIVE + MAX_NEGATIVE rows at most."""
     of = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id")))
     one = of.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = one.where("y = 1").orderBy(*by).limit(MAX_POSITIVE).unionByName(one.where("y = 0").orderBy(*by).limit(MAX_NEGATIVE))
     # At most MAX_POSITIVE + MAX_NEGATIVE rows of two numbers, and one text for each: bounded whatever the input repeats.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow().to_pylist()
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def _different(found: list[dict]) -> tuple[list[str | None], np.ndarray]:
     first: dict[str | None, tuple] = {}
     for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or "")):
         first.setdefault(r["text"], (r["text"], r["y"]))
     return [t for t, _ in first.values()], np.array([y for _, y in first.values()], dtype=np.float64)
 
 
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Network | float:
+    """train() on the bounded sample inside one task: the driver gets the fitted arrays alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train(*_different([r for batch in batches for r in batch.to_pylist()]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        ragged.release()
+
+    rows = sampled(docs, labels, text, doc_id, label)
+    made = work.map_arrow(rows.repartition(1), run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], np.zeros(0))
+
+
 def score(docs: DataFrame, model: Network | float, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -115,6 +115,14 @@ def test_network_on_held_out_rows(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_training_in_a_task_equals_the_driver(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    here, there = toxicity.train(*toxicity.training_rows(docs, labels)), toxicity.fit(docs, labels)
+    texts = pa.array([r.text for r in docs.limit(80).collect()])
+    assert np.abs(here.probability(here.score_texts(texts)) - there.probability(there.score_texts(texts))).max() < 1e-3
+    assert toxicity.fit(docs.limit(0), labels) == 0.5 and toxicity.fit(docs, labels.where("toxic = 1")) == 1.0
+
+
 def test_training_rows_leave_out_held_out_ids(spark):
     docs = spark.createDataFrame([(i, f"text {i % 50}") for i in range(100)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1), (3, None), (4, 1)], "doc_id long, toxic int")
