@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.config import Config
 from quarry.functions import paths
@@ -139,8 +141,12 @@ def find(rows: DataFrame, dotted: str, near_line: int | None = None) -> DataFram
     named = rows.where(F.col("kind") == "def").where(F.col("name").isin([target, *parents]))
 
     def enclosed(table: pa.Table) -> pa.Table:
+        (file,) = codes(table["file_id"])
         name = np.asarray(table["name"].combine_chunks().to_numpy(zero_copy_only=False), dtype=object)
         line, end = (np.asarray(table[c], dtype=np.int64) for c in ("line", "end_line"))
+        # Files lie one after another on one line, so that no span encloses another file's.
+        far = int(max(line.max(initial=0), end.max(initial=0))) + 2
+        line, end = line + file * far, end + file * far
         at = np.flatnonzero(name == target)
         span = np.stack([line[at], end[at]])
         inner = target
@@ -148,13 +154,26 @@ def find(rows: DataFrame, dotted: str, near_line: int | None = None) -> DataFram
             mine = np.unique(np.stack([line[name == parent], end[name == parent]]), axis=1)  # in order of start, then end
             place, ok = first_enclosing(mine, span, parent == inner)
             at, span, inner = at[ok], mine[:, place[ok]], parent
-        return table.take(pa.array(at))
+        return table.take(pa.array(at)).drop_columns(["_deal"])
 
-    found = named if not parents and target else named.groupBy("file_id").applyInArrow(enclosed, named.schema)
+    found = named if not parents else named.withColumn("_deal", dealt(rows.sparkSession)).groupBy("_deal").applyInArrow(enclosed, named.schema)
     by = [F.abs(F.col("line") - near_line)] if near_line is not None else []
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(*by, "line", "column")))
 
 
+def dealt(spark: SparkSession) -> Column:
+    """Many files to a group, whole; groups shrink as the session's shuffle partitions grow in number."""
+    return F.pmod(F.xxhash64("file_id"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """The same number for the same value in all columns."""
+    encoded = pc.dictionary_encode(pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type)).combine_chunks()
+    flat = np.asarray(pc.fill_null(encoded.indices, len(encoded.dictionary)), dtype=np.int64)
+    ends = np.cumsum([len(c) for c in columns])
+    return [flat[e - len(c) : e] for e, c in zip(ends, columns, strict=True)]
+
+
 def first_enclosing(outer: np.ndarray, inner: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray]:
     """The first of the outer spans (sorted starts and ends) that encloses each inner one, and whether there is one; other leaves equal spans out."""
     if not outer.shape[1]:
@@ -207,19 +226,28 @@ def assign_anchors(blocks: DataFrame, anchors: DataFrame, keep: int = 16) -> Dat
 
     blocks: file_id, block, start, end; anchors: file_id, start, end, kind, priority.
     An anchor must begin after its block does; of anchors with one span the highest priority stays."""
-    of = dict(blocks.dtypes)["block"]
     spans = anchors.groupBy("file_id", "start", "end").agg(F.max_by("kind", "priority").alias("kind"), F.max("priority").alias("priority"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in spans.dtypes)
-
-    def held(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = np.stack([np.asarray(right[c], dtype=np.int64) for c in ("start", "end")])
-        rank = np.asarray(pc.rank(right["block"].combine_chunks(), tiebreaker="first"), dtype=np.int64)
+    out = StructType([*spans.schema.fields, blocks.schema["block"]])
+    none = to_arrow_schema(out).empty_table()
+
+    def held(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return none
+        of_span, of_block = codes(left["file_id"], right["of"])
+        b = np.stack([np.asarray(right[c], dtype=np.int64) for c in ("first", "last")])
         s = np.stack([np.asarray(left[c], dtype=np.int64) for c in ("start", "end")])
+        far = int(max(b.max(initial=0), s.max(initial=0))) + 2
+        b, s = b + of_block * far, s + of_span * far
+        rank = np.asarray(pc.rank(right["block"].combine_chunks(), tiebreaker="first"), dtype=np.int64)
         at = innermost(np.vstack([b, rank]), s)
-        good = np.flatnonzero((at >= 0) & (s[0] > b[0][at] if b.shape[1] else False))
-        return left.take(pa.array(good)).append_column("block", right["block"].take(pa.array(at[good])))
-
-    inner = spans.groupBy("file_id").cogroup(blocks.select("file_id", "block", "start", "end").groupBy("file_id")).applyInArrow(held, f"{kinds}, block {of}")
+        good = np.flatnonzero((at >= 0) & (s[0] > b[0][at]))
+        return left.take(pa.array(good)).drop_columns(["_deal"]).append_column("block", right["block"].take(pa.array(at[good])))
+
+    deal = dealt(blocks.sparkSession)
+    # Named apart, since both tables may come from one.
+    lines = blocks.select(F.col("file_id").alias("of"), F.col("block").alias("block"), F.col("start").alias("first"), F.col("end").alias("last"), deal.alias("_deal"))
+    both = spans.withColumn("_deal", deal).groupBy("_deal").cogroup(lines.groupBy("_deal"))
+    inner = both.applyInArrow(held, out)
     ranked = inner.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy(F.col("priority").desc(), "start", "end")))
     return ranked.where(F.col("rank") <= keep).select("file_id", "block", "start", "end", "kind", "priority", "rank")
 
