@@ -538,4 +538,4 @@ def test_pipeline_of_odd_inputs(spark, tmp_path):
 
 
 def test_registered_queries():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
