@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,12 +49,48 @@ def tokens_of_word(word: Column) -> Column:
     return F.when(_is_stop(low), none).when(F.contains(word, F.lit("_")), snake).when(word.rlike("[a-z][A-Z]|[A-Z]{2}[a-z]"), camel).otherwise(F.array(low))
 
 
+class WordTokens:
+    """tokens_of_word for the words of whole texts inside a task; the words met so far keep their tokens, up to a number."""
+
+    MOST = 200_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.find, self.stop = re.compile(WORD).findall, frozenset(STOP_WORDS)
+        self.camel, self.caps, self.inner = re.compile(CAMEL), re.compile(CAPS), re.compile("[a-z][A-Z]|[A-Z]{2}[a-z]")
+
+    def of(self, word: str) -> tuple[str, ...]:
+        low = word.lower()
+        if low in self.stop:
+            return ()
+        if "_" in word:
+            parts = [p for p in low.split("_") if p and p not in self.stop]
+            return (low, *parts) if len(parts) > 1 else (low,)
+        if self.inner.search(word):
+            spaced = self.caps.sub(r"\1 \2", self.camel.sub(r"\1 \2", word)).lower()
+            return (low, *(p for p in spaced.split(" ") if p not in self.stop))
+        return (low,)
+
+    def counts(self, text: str) -> Counter[str]:
+        """How often each token is in a text."""
+        known, out = self.known, Counter()
+        for word, n in Counter(self.find(text)).items():
+            tokens = known.get(word)
+            if tokens is None:
+                if len(known) >= self.MOST:
+                    known.clear()
+                tokens = known[word] = self.of(word)
+            for t in tokens:
+                out[t] = out.get(t, 0) + n
+        return out
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
-    """The tokens of a text as one array; for whole corpora, exploding words first is faster (see lexical.build)."""
+    """The tokens of a text as one array; whole corpora are counted by WordTokens (see lexical.forward)."""
     return F.flatten(F.transform(words(text), tokens_of_word))
 
 

@@ -157,11 +157,10 @@ class DeltaIndex:
         folder = f"{self.path}/runs/{run}"
         empty = self.spark.createDataFrame([], f"chunk_id {base.kind}, text string")
         fresh = empty if changed is None else changed.select(F.col("chunk_id").cast(base.kind), "text")
-        # One forward row for each chunk, written first: all else is made from it.
-        per = lexical.counted(fresh).groupBy("chunk_id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("terms"))
-        none = F.array().cast("array<struct<term:string,tf:long>>")
-        whole = fresh.select("chunk_id").distinct().join(per, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", none).alias("terms"))
-        self._in_order(whole, "chunk_id").write.parquet(f"{folder}/forward")
+        # One forward row for each chunk, written first and in order: all else is made from it.
+        none = F.array().cast(lexical.TERMS)
+        whole = lexical.forward(fresh, ranged=True).drop("copies")
+        whole.write.parquet(f"{folder}/forward")
         added = self.spark.read.schema(whole.schema).parquet(f"{folder}/forward")
         ids = added.select("chunk_id")
         if removed is not None:
@@ -170,9 +169,8 @@ class DeltaIndex:
         old.select("chunk_id", "dl", "terms").write.parquet(f"{folder}/old")
         old = self.spark.read.schema(whole.schema).parquet(f"{folder}/old")
         old.select("chunk_id").write.parquet(f"{folder}/gone")
-        flat = lambda rows: rows.select("chunk_id", "dl", F.explode("terms").alias("t")).select("chunk_id", "t.term", "t.tf", "dl")
-        self._in_order(flat(added), "term", "chunk_id").write.parquet(f"{folder}/postings")
-        both = flat(added).select("term", *_sums(1)).unionByName(flat(old).select("term", *_sums(-1)))
+        self._in_order(lexical.flat(added), "term", "chunk_id").write.parquet(f"{folder}/postings")
+        both = lexical.flat(added).select("term", *_sums(1)).unionByName(lexical.flat(old).select("term", *_sums(-1)))
         change = both.groupBy("term").agg(*[F.sum(c).alias(c) for c in SUMS])
         self._in_order(change, "term").write.parquet(f"{folder}/terms")
         change = self.spark.read.schema(change.schema).parquet(f"{folder}/terms").select("term", "df")

@@ -108,9 +108,8 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
 
 @query(f"WITH {INDEX} SELECT chunk_id, dl, (SELECT count(*) FROM p WHERE p.chunk_id = d.chunk_id) AS n_terms FROM d")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    per = index.postings.groupBy("chunk_id").agg(F.count("*").alias("n_terms"))
-    return index.docs.join(per, "chunk_id", "left").select("chunk_id", F.col("dl").cast("long").alias("dl"), F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"))
+    per = lexical.lengths(_index(spark, sf_dir).kept)
+    return per.select("chunk_id", F.col("dl").cast("long").alias("dl"), F.col("n_terms").cast("long").alias("n_terms"))
 
 
 @query(f"WITH {INDEX} SELECT term, df, ttf, {sql.round4('idf')} AS idf FROM terms")

@@ -90,3 +90,24 @@ def test_empty_corpus(spark):
 def test_sigmoid_as_written(spark):
     rows = spark.createDataFrame([(0.0,), (1.0,), (7.9,), (8.0,), (-8.0,)], "x double").select(T.fast_sigmoid(F.col("x")).alias("y")).collect()
     assert [round(r.y, 4) for r in rows] == [0.25, 0.3115, round((7.9**3 + 6 * 7.9 + 12) / (7.9**3 + 12 * 7.9 + 48), 4), 1.0, 0.0]
+
+
+def test_counts_inside_tasks_equal_the_native_tokens(spark):
+    odd = ["The getUserById is a rate_limiter", "XMLParser HTTP _private get_the a__b ___ _ the_of aB ABc ABCd x1Y IsA isThe THEFoo", "caché über", "", None, "ab " * 5000 + "cd"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "chunk_id long, text string")
+    want = {r.chunk_id: sorted(r.t) for r in rows.select("chunk_id", T.tokens(F.col("text")).alias("t")).collect()}
+    got = {r.chunk_id: r for r in lexical.forward(rows).collect()}
+    assert {i: sorted(t.term for t in r.terms for _ in range(t.tf)) for i, r in got.items()} == want
+    assert {i: r.dl for i, r in got.items()} == {i: len(t) for i, t in want.items()}
+
+
+def test_a_build_makes_no_row_a_word(spark):
+    ix = index(spark)
+    plan = ix.kept._jdf.queryExecution().optimizedPlan().toString() + lexical.forward(spark.createDataFrame(CORPUS, "chunk_id string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_rows_of_one_id_are_one_chunk(spark):
+    ix = index(spark, [("a", "alpha beta"), ("b", "alpha"), ("a", "alpha")])
+    assert sorted(map(tuple, ix.postings.select("chunk_id", "term", "tf", "dl").collect())) == [("a", "alpha", 2, 3), ("a", "beta", 1, 3), ("b", "alpha", 1, 1)]
+    assert sorted(map(tuple, ix.docs.collect())) == [("a", 3), ("a", 3), ("b", 1)]
