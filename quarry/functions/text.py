@@ -56,6 +56,7 @@ class WordTokens:
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[str, ...]] = {}
+        self.plain: set[str] = set()
         self.find, self.stop = re.compile(WORD).findall, frozenset(STOP_WORDS)
         self.camel, self.caps, self.inner = re.compile(CAMEL), re.compile(CAPS), re.compile("[a-z][A-Z]|[A-Z]{2}[a-z]")
 
@@ -73,15 +74,21 @@ class WordTokens:
 
     def counts(self, text: str) -> Counter[str]:
         """How often each token is in a text."""
-        known, out = self.known, Counter()
-        for word, n in Counter(self.find(text)).items():
-            tokens = known.get(word)
+        out = Counter(self.find(text))
+        # Words that are their own single token stay as they were counted; the others are taken out first, as their tokens may be words too.
+        for word, n in [(w, out.pop(w)) for w in out.keys() - self.plain]:
+            tokens = self.known.get(word)
             if tokens is None:
-                if len(known) >= self.MOST:
-                    known.clear()
-                tokens = known[word] = self.of(word)
+                if len(self.known) + len(self.plain) >= self.MOST:
+                    self.known.clear()
+                    self.plain.clear()
+                tokens = self.of(word)
+                if tokens == (word,):
+                    self.plain.add(word)
+                else:
+                    self.known[word] = tokens
             for t in tokens:
-                out[t] = out.get(t, 0) + n
+                out[t] += n
         return out
 
 

@@ -2,7 +2,7 @@
 
 A single query vector is a literal in a native expression, whose top k plans as
 TakeOrderedAndProject.  A batch of queries is scored block by block with one
-matrix product per Arrow batch; every task keeps its own k best per query, so
+matrix product for each CELLS distances, so its memory is bounded; every task keeps its own k best per query, so
 what is shuffled is tasks x queries x k small rows, whatever the table's size.
 """
 
@@ -21,6 +21,8 @@ from quarry.functions import text as T
 
 #: Query vectors of one pass over the table.
 BLOCK_QUERIES = 4096
+#: Distances that a task holds at once.
+CELLS = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,13 +59,12 @@ def top_k(vectors: DataFrame, query: list[float], k: int, op: str = "<=>", min_s
     return ranked.withColumn("score", score(F.col("distance"))).where(F.col("score") >= min_score)
 
 
-def _best(block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, row number and distance of the k least distances of each column (more where the last ones tie)."""
+def _best(block: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, row number and distance of the k least distances of each column (more where the last ones tie) of those whose key is at most the column's least."""
     keys = np.floor(block * 1e9 + 0.5)
-    if k < len(keys):
-        rows, q = np.nonzero(keys <= np.partition(keys, k - 1, axis=0)[k - 1])
-    else:
-        rows, q = np.indices(keys.shape).reshape(2, -1)
+    if k < len(keys) and np.isinf(least).any():
+        least = np.minimum(least, np.partition(keys, k - 1, axis=0)[k - 1])
+    rows, q = np.nonzero(keys <= least)
     return q, rows, block[rows, q]
 
 
@@ -74,6 +75,19 @@ def _first_k(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> list[np.n
     return [q[inside], ids[inside], d[inside]]
 
 
+def _taken(kept: list[np.ndarray] | None, least: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray] | None:
+    """The k best of each query after the distances d (rows x queries); least, the key that a hit may have at most, follows them."""
+    of, row, near = _best(d, k, least)
+    if not len(of):
+        return kept
+    found = of, ids[row], near
+    kept = _first_k(*(np.concatenate(x) for x in zip(kept, found, strict=True)) if kept else found, k)
+    # A query that has k hits takes none beyond its last one.
+    full = np.flatnonzero(np.bincount(kept[0], minlength=len(least)) >= k)
+    least[full] = np.floor(kept[2][np.searchsorted(kept[0], full, side="right") - 1] * 1e9 + 0.5)
+    return kept
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, op: str = "<=>", min_score: float = 0.05) -> DataFrame:
     """(qid, chunk_id, distance, score, rank) for queries (qid, embedding); ids of any type.
 
@@ -89,10 +103,11 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, op: str = "<=>",
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            kept = None
+            kept, least = None, np.full(len(q), np.inf)
+            step = max(1, CELLS // len(q))
             for batch in batches:
-                for a in range(0, batch.num_rows, 2048):
-                    piece = batch.slice(a, 2048)
+                for a in range(0, batch.num_rows, step):
+                    piece = batch.slice(a, step)
                     v = np.asarray(piece.column("embedding").flatten(), dtype=np.float64).reshape(piece.num_rows, -1)
                     ids = np.array(piece.column("chunk_id").to_pylist())
                     if op == "<=>":
@@ -101,9 +116,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, op: str = "<=>",
                         d = -(v @ q.T)
                     else:
                         d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (v @ q.T), 0))
-                    of, row, near = _best(d, k)
-                    found = of, ids[row], near
-                    kept = _first_k(*(np.concatenate(x) for x in zip(kept, found, strict=True)) if kept else found, k)
+                    kept = _taken(kept, least, d, ids, k)
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in kept[0]], qid_kind), pa.array(kept[1].tolist(), id_kind), pa.array(kept[2], pa.float64())], ["qid", "chunk_id", "distance"])
 
