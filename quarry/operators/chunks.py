@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quarry.functions import paths
+from quarry.functions import batches, paths
 from quarry.functions import text as T
 
 PIECES = ArrayType(StructType([StructField("part_text", StringType()), StructField("first_line", IntegerType()), StructField("last_line", IntegerType())]))
+#: Characters of parts that a task holds as Python strings at once; a single row may have more.
+MOST_CHARS = 4_000_000
 #: White space that is trimmed off the ends of module-level chunks.
 BLANK = " \t\n\x0b\f\r"
 
@@ -47,18 +51,37 @@ def cut(text: str, most: int, overlap: int) -> list[tuple[str, int, int]]:
         start, least = max(bisect_right(upto, upto[end] - overlap) - 1, start), end
 
 
+def listed(rows: Iterable[list[tuple[str, int, int]]]) -> pa.Array:
+    """Rows of (text, first line, last line) as one column; Python holds the texts of MOST_CHARS at once, Arrow the others."""
+    texts, done, held = [], [], 0
+    first, last, ends = array("i"), array("i"), array("i", [0])
+    for parts in rows:
+        for text, a, b in parts:
+            texts.append(text)
+            held += len(text)
+            first.append(a)
+            last.append(b)
+        ends.append(len(first))
+        if held > MOST_CHARS:
+            done.append(pa.array(texts, pa.string()))
+            texts, held = [], 0
+    done.append(pa.array(texts, pa.string()))
+    columns = [pa.concat_arrays(done), *(pa.array(np.frombuffer(x, np.int32) if x else [], pa.int32()) for x in (first, last))]
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.StructArray.from_arrays(columns, ["part_text", "first_line", "last_line"]))
+
+
 @cache
 def cutter(most: int, overlap: int) -> Callable:
     @F.arrow_udf(PIECES)
     def parts(text: pa.Array) -> pa.Array:
-        rows = [[] if t is None else [dict(zip(("part_text", "first_line", "last_line"), p, strict=True)) for p in cut(t, most, overlap)] for t in text.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("part_text", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())])))
+        return listed([] if t is None else cut(t, most, overlap) for t in (x.as_py() for x in text))
 
     return parts
 
 
 def by_size(rows: DataFrame, text: str, most: int = 750, overlap: int = 200) -> DataFrame:
     """The rows with part (from 1), parts, part_text, first_line and last_line (from 0) for each part; null texts have none."""
+    batches.small(rows.sparkSession)
     parts = rows.withColumn("_parts", cutter(most, overlap)(F.col(text).cast("string")))
     out = parts.select(*rows.columns, F.size("_parts").alias("parts"), F.posexplode("_parts").alias("_i", "_p"))
     return out.select(*rows.columns, (F.col("_i") + 1).alias("part"), "parts", "_p.part_text", "_p.first_line", "_p.last_line")
@@ -75,6 +98,7 @@ def gaps(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """file_id, first_line, last_line (from 0), content: runs of lines outside all definitions, of over 20 characters when trimmed.
 
     files: file_id, content; symbols: file_id, line, end_line (from 1)."""
+    batches.small(files.sparkSession)
     spans = symbols.select("file_id", F.struct(F.greatest(F.col("line") - 1, F.lit(0)).cast("int").alias("a"), F.greatest(F.col("line") - 1, F.col("end_line") - 1, F.lit(0)).cast("int").alias("b")).alias("s"))
     held = spans.groupBy("file_id").agg(F.sort_array(F.collect_set("s")).alias("spans"))
     free = files.select("file_id", "content").join(held, "file_id", "left").select("file_id", F.explode(_free(F.col("content"), F.col("spans"))).alias("g"))
@@ -83,17 +107,18 @@ def gaps(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 @F.arrow_udf(PIECES)
 def _free(content: pa.Array, spans: pa.Array) -> pa.Array:
-    rows = []
-    for text, held in zip(content.to_pylist(), spans.to_pylist(), strict=True):
-        lines, out, at = [] if text is None else text.split("\n"), [], 0
-        for a, b in [*((s["a"], s["b"]) for s in held or ()), (len(lines), len(lines))]:
-            a = min(a, len(lines))
-            trimmed = "\n".join(lines[at:a]).strip(BLANK)
-            if len(trimmed) > 20:
-                out.append({"part_text": trimmed, "first_line": at, "last_line": a - 1})
-            at = max(at, b + 1)
-        rows.append(out)
-    return pa.array(rows, pa.list_(pa.struct([("part_text", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32())])))
+    return listed(_between(t.as_py(), s.as_py()) for t, s in zip(content, spans, strict=True))
+
+
+def _between(text: str | None, held: list[dict] | None) -> list[tuple[str, int, int]]:
+    lines, out, at = [] if text is None else text.split("\n"), [], 0
+    for a, b in [*((s["a"], s["b"]) for s in held or ()), (len(lines), len(lines))]:
+        a = min(a, len(lines))
+        trimmed = "\n".join(lines[at:a]).strip(BLANK)
+        if len(trimmed) > 20:
+            out.append((trimmed, at, a - 1))
+        at = max(at, b + 1)
+    return out
 
 
 def chunk(files: DataFrame, symbols: DataFrame | None = None, most: int = 750, overlap: int = 200, module_level: bool = True) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,36 @@ def test_config():
 def test_render(spark):
     rows = spark.createDataFrame([("a.ts", 3, 9, "run", 0.51239), ("b.md", None, None, "", 1.0)], "source string, start_line int, end_line int, symbol_name string, score double")
     assert [r.line for r in hybrid.render(rows).collect()] == ["── a.ts:3-9 (run)  [0.5124]", "── b.md  [1.0000]"]
+
+
+def test_parts_are_held_a_few_at_a_time():
+    from quarry.operators import chunks
+
+    before = pa.total_allocated_bytes()
+    text, seen = "x" * 99 + "\n", []
+
+    def rows():
+        for i in range(400):
+            seen.append(pa.total_allocated_bytes() - before)
+            yield [] if i % 7 == 3 else chunks.cut(text * 500, 750, 200)
+
+    out = chunks.listed(rows())
+    # What was cut is in Arrow long before the last row comes.
+    assert seen[200] > 5_000_000
+    one = chunks.cut(text * 500, 750, 200)
+    assert len(out) == 400 and out[3].as_py() == [] and [tuple(x.values()) for x in out[399].as_py()] == one
+
+
+def test_near_rows_of_small_blocks_are_those_of_all():
+    r = np.random.default_rng(3)
+    v, q = np.round(r.standard_normal((700, 4)), 1), np.round(r.standard_normal((60, 4)), 1)
+    d = 1 - v @ q.T  # with ties
+    kept, least = None, np.full(60, np.inf)
+    for a in [0, 5, *range(10, 700, 10)]:
+        kept = vector._taken(kept, least, d[a : a + (5 if a < 10 else 10)], np.arange(a, a + (5 if a < 10 else 10)), 7)
+    want = [i for j in range(60) for i in np.lexsort((np.arange(700), np.floor(d[:, j] * 1e9 + 0.5)))[:7]]
+    assert kept[1].tolist() == want and np.isfinite(least).all()
+
+
+def test_a_task_holds_a_bounded_number_of_distances():
+    assert vector.CELLS * 8 <= 16_000_000 and vector.CELLS >= vector.BLOCK_QUERIES
