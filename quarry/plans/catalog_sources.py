@@ -360,7 +360,7 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for folder in ("src", "node_modules/src", "src/.git"):
         files_.write.partitionBy("lang").text(f"{root}/{folder}")
     files_.limit(1).drop("lang").write.csv(f"{root}/other")
-    found = files.collect(spark, root, ["txt"], None)
+    found = files.hashed(spark, root, ["txt"])
     return found.select(F.regexp_replace("file_id", "/[^/]*$", "").alias("folder"), "content_hash", "raw_hash", "length")
 
 

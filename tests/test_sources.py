@@ -248,3 +248,21 @@ def test_search_returns_stored_ids(spark, tmp_path):
     assert index.index(view).postings.count() > 0
     service.insert("s", rows.limit(1).withColumn("id", F.lit("again")), "p")
     assert "again" in {r.id for r in service.search("s", "rate limiter words", project_id="p", limit=50, mode="lexical").collect()}
+
+
+def test_files_are_hashed_in_pieces_as_whole_ones_are(spark, tmp_path):
+    kept = {"a.txt": b"one\ntwo\n", "b.txt": b"no end", "c.txt": b"", "d.txt": b"\n\n", "e +%41.txt": "ä\r\nb".encode(), "mark.txt": b"\xef\xbb\xbfa\nb", "marked.txt": b"\xef\xbb\xbfa\nb\n", "bad.txt": b"x\xe4\nq\xff\xf0\x9f\n", "long.txt": b"line of a file\n" * 40_000}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    for name, data in kept.items():
+        (tmp_path / "sub" / name).write_bytes(data)
+    (tmp_path / "node_modules" / "a.txt").write_bytes(b"x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = files.hashed(spark, str(tmp_path), ["txt"]).drop("modified").collect()
+        plan = files.hashed(spark, str(tmp_path), ["txt"])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = files.collect(spark, str(tmp_path), ["txt"], None).select("file_id", "path", "content_hash", "raw_hash", "length").collect()
+    assert got == want and {r.file_id for r in got} == {f"sub/{n}" for n, data in kept.items() if data} and "content#" not in plan.split("Relation")[0]
