@@ -1,7 +1,7 @@
 """Bucketed copies of the store's rows for lookups by symbol and by document.
 
 `symbols` is bucketed and sorted by the symbol name in lower case, `paths` by
-document, both over one version of the store.  A lookup by value reads one bucket; a
+document, both over one version of the store; texts that equal the content are kept once.  A lookup by value reads one bucket; a
 join of many keys shuffles the keys alone, as the rows lie by key already.  The files
 are found again by other processes: a small version file notes their folder, and the
 session's catalogue is told of it on first use."""
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources.commits import Versions
-from quarry.sources.store import Snapshot, Store
+from quarry.sources.store import Snapshot, Store, slim, whole
 
 BUCKETS = 64
 KEYS = {"symbols": "lower_name", "paths": "doc_path"}
@@ -34,7 +34,7 @@ class Layout:
         noted = self.versions.read(latest) if latest else None
         if noted and noted["store_version"] == at.version:
             return noted
-        rows = self.store.rows(at).drop("commit", "file", "row")
+        rows = slim(self.store.rows(at).drop("commit", "file", "row"))
         run = uuid.uuid4().hex
         for name, key in KEYS.items():
             keyed = rows.where("symbol_name IS NOT NULL").withColumn("lower_name", F.lower("symbol_name")) if name == "symbols" else rows.where("doc_path IS NOT NULL")
@@ -59,7 +59,7 @@ class Layout:
             schema = self.spark.read.parquet(folder).schema
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet OPTIONS (path '{folder}') CLUSTERED BY ({key}) SORTED BY ({key}) INTO {noted['buckets']} BUCKETS")
-        return self.spark.table(known)
+        return whole(self.spark.table(known))
 
     def by_symbol(self, asked: DataFrame, noted: dict[str, Any] | None = None) -> DataFrame:
         """Of queries (qid, q) the rows whose symbol is q in any case, with tier 1 (equal) or 2."""

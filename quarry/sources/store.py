@@ -29,6 +29,8 @@ STORES = "id string, name string, created_at timestamp, metadata map<string,stri
 
 
 PLACES = "file string, row long"
+#: Texts that are mostly the content again: the files hold null where they are.
+SAME = ("semantic_content", "lexical_content")
 PARTS = ("store_id", "project_id")
 #: Documents named in a filter that reaches the files; more of them are joined.
 NAMED_DOCS = 1000
@@ -82,7 +84,7 @@ class Store:
         for store_id, project_id, old in at.drops:
             if set(old) & set(wanted):
                 data = data.where(~(F.col("store_id").eqNullSafe(store_id) & F.col("project_id").eqNullSafe(project_id or None) & F.col("commit").isin(old)))
-        data = data.select(*columns, "commit", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        data = data.select(*[F.coalesce(c, "content").alias(c) if c in SAME else c for c in columns], "commit", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
         return data.join(self.places(at.deletes), ["file", "row"], "left_anti").select(*columns, "commit", "file", "row") if at.deletes else data
 
     def places(self, commits: list[str]) -> DataFrame:
@@ -112,7 +114,7 @@ class Store:
     def _write_rows(self, rows: DataFrame) -> str:
         """Rows as a new commit, each file in order of document, so that statistics prune a document's rows."""
         commit = uuid.uuid4().hex
-        rows.sortWithinPartitions(*PARTS, "doc_path").write.partitionBy(*PARTS).parquet(f"{self.path}/data/commit={commit}")
+        slim(rows).sortWithinPartitions(*PARTS, "doc_path").write.partitionBy(*PARTS).parquet(f"{self.path}/data/commit={commit}")
         return commit
 
     def _write_places(self, places: DataFrame) -> tuple[str, int]:
@@ -263,6 +265,15 @@ class Store:
         return added, gone
 
 
+def slim(rows: DataFrame) -> DataFrame:
+    """Rows of the store without the texts that equal the content; `whole` puts them back."""
+    return rows.withColumns({c: F.when(~F.col(c).eqNullSafe(F.col("content")), F.col(c)) for c in SAME})
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(c, "content") for c in SAME})
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     """content_type, n; null types count as unknown.  The sum of n is the number of chunks."""
     return chunks.groupBy(F.coalesce("content_type", F.lit("unknown")).alias("content_type")).agg(F.count("*").alias("n"))

@@ -146,3 +146,16 @@ def test_a_named_document_reaches_the_scan(spark, made):
     made.append(rows(spark, "a", "b"), "s", "p")
     plan = made._held(made.snapshot(), F.col("project_id") == "p", spark.createDataFrame([("a",)], "doc_path string"))._jdf.queryExecution().toString()
     assert "EqualTo(doc_path,a)" in plan and "PartitionFilters: [isnotnull(project_id" in plan
+
+
+def test_texts_that_equal_the_content_are_written_once(spark, tmp_path):
+    made = store.Store(spark, str(tmp_path / "s")).ensure()
+    rows = [("1", "a", None, None), ("2", "b", "other", "b"), ("3", None, "x", None), ("4", "", None, "y"), ("5", "c", "", "c")]
+    made.append(spark.createDataFrame(rows, "id string, content string, semantic_content string, lexical_content string"), "s", "p")
+    got = {r.id: (r.content, r.semantic_content, r.lexical_content) for r in made.read().collect()}
+    assert got == {"1": ("a", "a", "a"), "2": ("b", "other", "b"), "3": (None, "x", None), "4": ("", "", "y"), "5": ("c", "", "c")}
+    files = spark.read.parquet(f"{made.path}/data")
+    assert files.where("semantic_content = content OR lexical_content = content").isEmpty()
+    made.compact()
+    assert {r.id: (r.content, r.semantic_content, r.lexical_content) for r in made.read().collect()} == got
+    assert spark.read.parquet(f"{made.path}/data/commit={made.snapshot().data[0]}").where("semantic_content = content").isEmpty()
