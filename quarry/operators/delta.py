@@ -1,6 +1,6 @@
 """A lexical index that follows changes: runs of postings, tombstones and additive term statistics.
 
-A run is what one change wrote: `postings` (chunk_id, term, tf, dl) in order of term,
+A run is what one change wrote: `postings` (term and lists of chunk_id, tf, dl) in order of term,
 `forward` (chunk_id, dl, terms) in order of chunk, `gone` (chunk_id: rows of earlier
 runs are dead), `terms` (what the change adds to each term's df, ttf, sum of squares
 and damped sums) and `dfs` (what it adds to the number of terms of each df).  All but
@@ -29,6 +29,10 @@ from . import lexical
 
 #: Terms or chunks named in a filter that reaches the files; more of them are joined.
 NAMED = 1000
+#: Bytes of forward rows (files) for each part of the tables made of them.
+PART_BYTES = 8_000_000
+#: Bytes of texts that a task sorts by chunk and counts.
+TEXT_BYTES = 32_000_000
 SUMS = ("df", "ttf", "sq", "s", "sl")
 
 
@@ -89,7 +93,7 @@ class DeltaIndex:
     def _table(self, at: View, name: str) -> DataFrame:
         """All runs' rows of a table with `run`, the place of their run."""
         kinds = {
-            "postings": f"chunk_id {at.kind}, term string, tf long, dl int", "forward": f"chunk_id {at.kind}, dl int, terms array<struct<term:string,tf:long>>", "gone": f"chunk_id {at.kind}",
+            "postings": lexical.INVERTED.format(at.kind), "forward": f"chunk_id {at.kind}, dl int, terms array<struct<term:string,tf:long>>", "gone": f"chunk_id {at.kind}",
             "terms": "term string, df long, ttf long, sq long, s double, sl double", "dfs": "df long, n long",
         }
         if not at.runs:
@@ -122,17 +126,18 @@ class DeltaIndex:
     def index(self, at: View | None = None) -> lexical.Index:
         """The whole index of a version, as the lexical operators take it."""
         at = at or self.view()
-        postings = self._live(at, self._table(at, "postings")).drop("run")
+        postings = self._live(at, lexical.outspread(self._table(at, "postings"))).drop("run")
         docs = self._live(at, self._table(at, "forward")).select("chunk_id", "dl")
         return lexical.Index(postings, docs, self._terms(at, self._table(at, "terms")), self._corpus(at))
 
     def part(self, queries: DataFrame, at: View | None = None) -> lexical.Index:
-        """What a search of queries (qid, query) needs of it: postings and sums of their terms alone."""
+        """What a search of queries (qid, query) needs of it: postings and sums of their terms alone, or for many queries the chunks' rows."""
         at = at or self.view()
         asked = lexical.query_terms(queries)
-        postings = self._live(at, _named(self._table(at, "postings"), "term", asked)).drop("run")
-        docs = self._live(at, self._table(at, "forward")).select("chunk_id", "dl")
-        return lexical.Index(postings, docs, self._terms(at, _named(self._table(at, "terms"), "term", asked)), self._corpus(at))
+        rows = self._live(at, self._table(at, "forward")).drop("run")
+        many = lexical.many(queries)
+        postings = lexical.flat(rows) if many else self._live(at, lexical.outspread(_named(self._table(at, "postings"), "term", asked))).drop("run")
+        return lexical.Index(postings, rows.select("chunk_id", "dl"), self._terms(at, _named(self._table(at, "terms"), "term", asked)), self._corpus(at), chunks=rows if many else None)
 
     def search(self, queries: DataFrame, top: int, normalized: bool = True, at: View | None = None) -> DataFrame:
         return lexical.search(self.part(queries, at), queries, top, normalized)
@@ -159,7 +164,8 @@ class DeltaIndex:
         fresh = empty if changed is None else changed.select(F.col("chunk_id").cast(base.kind), "text")
         # One forward row for each chunk, written first and in order: all else is made from it.
         none = F.array().cast(lexical.TERMS)
-        whole = lexical.forward(fresh, ranged=True).drop("copies")
+        size = fresh.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        whole = lexical.forward(fresh, max(1, -(-size // TEXT_BYTES))).drop("copies")
         whole.write.parquet(f"{folder}/forward")
         added = self.spark.read.schema(whole.schema).parquet(f"{folder}/forward")
         ids = added.select("chunk_id")
@@ -169,10 +175,11 @@ class DeltaIndex:
         old.select("chunk_id", "dl", "terms").write.parquet(f"{folder}/old")
         old = self.spark.read.schema(whole.schema).parquet(f"{folder}/old")
         old.select("chunk_id").write.parquet(f"{folder}/gone")
-        self._in_order(lexical.flat(added), "term", "chunk_id").write.parquet(f"{folder}/postings")
+        n = self._parts(f"{folder}/forward", f"{folder}/old")
+        self._in_order(lexical.inverted(added), n, "term", "first").write.parquet(f"{folder}/postings")
         both = lexical.flat(added).select("term", *_sums(1)).unionByName(lexical.flat(old).select("term", *_sums(-1)))
         change = both.groupBy("term").agg(*[F.sum(c).alias(c) for c in SUMS])
-        self._in_order(change, "term").write.parquet(f"{folder}/terms")
+        self._in_order(change, n, "term").write.parquet(f"{folder}/terms")
         change = self.spark.read.schema(change.schema).parquet(f"{folder}/terms").select("term", "df")
         before = _named(self._table(base, "terms"), "term", change).groupBy("term").agg(F.sum("df").alias("before")) if base.runs else change.select("term", F.lit(0).alias("before"))
         steps = change.join(before, "term", "left").select(F.coalesce("before", F.lit(0)).cast("long").alias("b"), (F.coalesce("before", F.lit(0)) + F.col("df")).cast("long").alias("a"))
@@ -183,9 +190,15 @@ class DeltaIndex:
         self.files.remove(f"{folder}/old")
         self._publish(base, run, lambda: base._replace(version=base.version + 1, runs=[*base.runs, [run, plus[2]]], n=base.n + plus[0] - minus[0], total=base.total + plus[1] - minus[1], note=note))
 
+    def _parts(self, *folders: str) -> int:
+        """Into how many parts what is made of these forward rows is dealt, so that a part's size does not follow the table."""
+        return max(1, -(-sum(self.files.size(f) for f in folders) // PART_BYTES))
+
     @staticmethod
-    def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    def _in_order(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+        """Rows in n ranges of the keys; `first` is the first chunk of a list, which deals a frequent term's lists to several ranges."""
+        by = [F.get("chunk_ids", F.lit(0)) if k == "first" else F.col(k) for k in keys]
+        return rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
     def merge(self, last: int | None = None) -> None:
         """The last runs (all if None) become one; tombstones stay for the runs before them."""
@@ -194,15 +207,17 @@ class DeltaIndex:
         merged = base._replace(runs=base.runs[first:])
         run = uuid.uuid4().hex
         folder = f"{self.path}/runs/{run}"
-        postings = self._live(merged, self._table(merged, "postings")).drop("run")
-        self._in_order(postings, "term", "chunk_id").write.parquet(f"{folder}/postings")
-        self._in_order(self._live(merged, self._table(merged, "forward")).drop("run"), "chunk_id").write.parquet(f"{folder}/forward")
+        parts = self._parts(*[f"{self.path}/runs/{r}/forward" for r, _ in merged.runs])
+        self._in_order(self._live(merged, self._table(merged, "forward")).drop("run"), parts, "chunk_id").write.parquet(f"{folder}/forward")
+        # Lists are made anew of the live rows: no posting is joined or sorted by itself.
+        live = self.spark.read.schema(f"chunk_id {base.kind}, dl int, terms {lexical.TERMS}").parquet(f"{folder}/forward")
+        self._in_order(lexical.inverted(live), parts, "term", "first").write.parquet(f"{folder}/postings")
         gone = self._table(merged, "gone").select("chunk_id").distinct()
         (gone if first else gone.limit(0)).write.parquet(f"{folder}/gone")
         sums = self._table(merged, "terms").groupBy("term").agg(*[F.sum(c).alias(c) for c in SUMS])
-        self._in_order(sums.where("df > 0") if not first else sums, "term").write.parquet(f"{folder}/terms")
+        self._in_order(sums.where("df > 0") if not first else sums, parts, "term").write.parquet(f"{folder}/terms")
         self._table(merged, "dfs").groupBy("df").agg(F.sum("n").alias("n")).where("n <> 0").coalesce(1).write.parquet(f"{folder}/dfs")
-        n = self.spark.read.parquet(f"{folder}/postings").count()
+        n = live.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
         self._publish(base, run, lambda: base._replace(version=base.version + 1, runs=[*base.runs[:first], [run, n]]))
 
     def vacuum(self, keep: int = 2) -> None:

@@ -97,3 +97,17 @@ def test_writers_of_one_index(spark, monkeypatch):
     with pytest.raises(commits.Conflict):
         index.apply(rows(spark, {3: "gamma"}))
     assert len(index.files.listed(f"{index.path}/runs")) == n
+
+
+def test_postings_are_written_as_lists(spark, monkeypatch):
+    """A row holds a term's postings of many chunks, so that what is shuffled and sorted is no row a posting; parts follow the size."""
+    monkeypatch.setattr(lexical, "MOST_POSTINGS", 500)
+    monkeypatch.setattr(delta, "PART_BYTES", 2000)
+    r = random.Random(9)
+    texts = {k: text(r) for k in range(300)} | {300: "", 301: "the"}
+    index = delta.DeltaIndex.build(rows(spark, texts), staging.folder(spark, "delta"))
+    run = index.view().runs[0][0]
+    lists = spark.read.parquet(f"{index.path}/runs/{run}/postings")
+    assert lists.count() < index.index().postings.count() / 3
+    assert lists.rdd.getNumPartitions() > 0 and len([n for n, _ in index.files.listed(f"{index.path}/runs/{run}/postings") if n.startswith("part-")]) > 1
+    same(spark, index, texts)
