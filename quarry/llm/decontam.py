@@ -102,13 +102,11 @@ def _gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
         rows_per = TERMS // parts
         yield pa.RecordBatch.from_arrays([pa.array(range(parts)), pa.array([total[k * rows_per : (k + 1) * rows_per].tobytes() for k in range(parts)])], ["part", "sums"])
 
-    def add(key, group):
-        total = np.sum([np.frombuffer(x, dtype=np.float32) for x in group["sums"]], axis=0, dtype=np.float32)
-        import pandas as pd
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py(), dtype=np.float32) for x in group["sums"]], axis=0, dtype=np.float32)
+        return pa.table({"part": group["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-        return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
-
-    out = work.map_arrow(rows, run, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").toArrow().sort_by("part")
+    out = work.map_arrow(rows, run, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").toArrow().sort_by("part")
     return np.concatenate([np.frombuffer(x.as_py(), dtype=np.float32) for x in out["sums"]]).reshape(TERMS, width).astype(np.float64) if out.num_rows else np.zeros((TERMS, width))
 
 
@@ -149,7 +147,7 @@ class Items:
 
 def word_vectors(idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A row for each bucket of the document frequencies, which hold the terms' buckets in their low bits; a last row of zeros."""
-    return np.concatenate([idf[:, None] * basis[np.arange(weights.BUCKETS) % TERMS], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    return np.concatenate([idf[:, None] * basis[np.arange(weights.BUCKETS) % TERMS], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32, copy=False)
 
 
 def project(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -332,6 +330,8 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
         q = items([(r["item_id"], r["text"]) for r in block.toArrow().to_pylist()], idf, basis)
         if q is not None:
             out = out.unionByName(work.map_arrow(rows, _searcher(spark.sparkContext.broadcast((q, table)), out.schema), schema))
+    q = table = basis = None
+    ragged.release()  # the driver has other stages to run
     best = F.max_by(F.struct("lcs_share", "answer_share", "first_word"), F.struct("lcs_share", "answer_share", -F.col("first_word"))).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 

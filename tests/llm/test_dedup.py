@@ -199,6 +199,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1040)]
+    edges, jobs, found = spark.createDataFrame(pairs, "a long, b long"), [], []
+    for few in (components.FEW_EDGES, 0):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        spark.sparkContext.setJobGroup(f"components-{few}", "")
+        found.append(sorted((x.node, x.label) for x in components.components(edges).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and jobs[0] < 10 < jobs[1]
+
+
 # ---- lines
 
 
