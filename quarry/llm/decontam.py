@@ -3,9 +3,11 @@
 Passages are windows of WINDOW words at every STRIDE words of a document, and
 at every word of a benchmark item.  Their TF-IDF vectors (hashed words, document
 frequencies of the whole corpus) are projected on the leading right singular
-vectors of a passage-term matrix, found by a distributed randomised SVD; the
-basis is fitted on the passages of about FIT_DOCS documents, chosen by hash, and
-every document is searched.  Candidates are pairs of windows with a cosine of
+vectors of the passage-term matrix of all documents, found by a distributed randomised
+SVD: of the start, RANK directions are first turned by the passages of about FIT_DOCS
+documents, chosen by hash, EXTRA ones are random; one pass over all passages then gives
+the basis and its singular values.
+Every document is searched.  Candidates are pairs of windows with a cosine of
 MIN_COSINE or more (less for items that are too short to align with a window), found through clusters of the benchmark windows; a candidate
 counts when the longest common subsequence of the item and the aligned part of
 the document covers MIN_LCS of the item's words, and the answer check finds
@@ -34,6 +36,8 @@ from . import ragged, weights, work
 WINDOW, STRIDE = 12, 6
 TERMS, RANK, EXTRA, ROUNDS = 1 << 15, 48, 8, 2
 FIT_DOCS, FIT_DOCS_A_TASK = 3000, 1000
+#: Documents of one of the tasks that sum over all of them, and the most such tasks (but one a core): each hands on sums of the size of the basis.
+DOCS_A_TASK, MOST_TASKS = 20_000, 256
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.88, 0.7, 0.5
 MIN_WORDS = 4
 #: Each benchmark window lies in this many clusters, the nearest; a document window looks into one.  Those of short items lie in more.
@@ -86,19 +90,26 @@ def _gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
                 if not len(h):
                     continue
                 w, t = weight[weights.bucket(h)], term(h)
-                start, stop, _ = passages(offsets)
-                size = stop - start
-                flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-                begin = np.cumsum(size) - size
-                w, t = w[flat], t[flat]
-                norm = np.sqrt(np.add.reduceat(w**2, begin))
-                value = (w / np.repeat(norm, size)).astype(np.float32)
-                seen = np.add.reduceat(value[:, None] * q[t], begin, axis=0)
+                # Of a block: the sum of its words' vectors, and of their squared weights; a passage is two of them, or a row's only one.
+                start, ends = blocks(offsets)
+                size = np.diff(np.append(start, len(h)))
+                sums = np.add.reduceat(w[:, None] * q[t], start, axis=0)
+                squares = np.add.reduceat(w**2, start)
+                first, stop, _ = passages(offsets)
+                one = np.searchsorted(start, first)
+                two = one[stop - first > STRIDE]
+                seen, norm = sums[one], squares[one]
+                seen[stop - first > STRIDE] += sums[two + 1]
+                norm[stop - first > STRIDE] += squares[two + 1]
+                seen /= norm[:, None]
+                back = np.zeros_like(sums)
+                back[one] = seen
+                back[two + 1] += seen[stop - first > STRIDE]
                 order = np.argsort(t, kind="stable")
                 terms = t[order]
-                first = np.flatnonzero(np.diff(terms, prepend=-1))
-                passage = np.repeat(np.arange(len(size)), size)[order]
-                total[terms[first]] += np.add.reduceat(value[order][:, None] * seen[passage], first, axis=0)
+                begin = np.flatnonzero(np.diff(terms, prepend=-1))
+                block = np.repeat(np.arange(len(size)), size)[order]
+                total[terms[begin]] += np.add.reduceat(w[order][:, None] * back[block], begin, axis=0)
         rows_per = TERMS // parts
         yield pa.RecordBatch.from_arrays([pa.array(range(parts)), pa.array([total[k * rows_per : (k + 1) * rows_per].tobytes() for k in range(parts)])], ["part", "sums"])
 
@@ -119,11 +130,14 @@ def fit(docs: DataFrame, n_docs: int, idf: np.ndarray, text: str = "text", doc_i
     basis = np.random.default_rng(seed).standard_normal((TERMS, RANK + EXTRA))
     for _ in range(ROUNDS):
         basis, _ = np.linalg.qr(_gram(chosen, basis, idf))
-    inner = basis.T @ _gram(chosen, basis, idf)
-    value, vector = np.linalg.eigh((inner + inner.T) / 2)
-    top = np.argsort(-value)[:RANK]
-    strength = np.sqrt(np.maximum(value[top], 1e-12))  # singular values
-    return ((basis @ vector[:, top]) / strength).astype(np.float32)
+    q, _ = np.linalg.qr(np.concatenate([basis[:, :RANK], np.random.default_rng(seed + 1).standard_normal((TERMS, EXTRA)) / np.sqrt(TERMS)], axis=1))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, -(-n_docs // DOCS_A_TASK)))
+    y = _gram(docs.select(F.col(text).cast("string").alias("text")).coalesce(tasks), q, idf)
+    # Of all passages, A'A is y (q'y)^-1 y' on the space that y spans (Nystrom).
+    value, vector = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+    held = value > max(1e-12, 1e-9 * value[-1])
+    u, strength, _ = np.linalg.svd(y @ (vector / np.sqrt(np.where(held, value, np.inf))), full_matrices=False)
+    return (u[:, :RANK] / np.maximum(strength[:RANK], 1e-6)).astype(np.float32)
 
 
 # ---- the query set

@@ -5,9 +5,12 @@ its hashed character n-grams (3, 5 and 7 with word ends); both start from smooth
 rows.  The network reads windows of WINDOW words that overlap by WINDOW - STRIDE
 and cover the whole text; a document's score is its highest window's logit,
 passed through a logistic curve fitted on the training rows.  Everything is
-trained in numpy, on the driver (`train`) or in one task (`fit`), on at most
+trained in numpy, on the driver or in one task (`train`), on at most
 MAX_POSITIVE + MAX_NEGATIVE labelled documents (the first of each class by hash), and
-the fitted arrays, about 1 MB, are broadcast.
+the fitted arrays, about 1 MB, are broadcast.  `fit` goes on from there where more rows
+are labelled: all of them are dealt to shards, each task moves the network along the
+gradients of its shard, and the mean over all rows is the model; its logistic curve
+is fitted on the scores of all labelled rows.
 
 Defined results: null and empty texts are one window without words, with the
 score of an all-padding window; repeated rows score alike; a null id is never
@@ -41,6 +44,10 @@ MAX_POSITIVE, MAX_NEGATIVE = 700, 1400
 STEPS, MIN_EPOCHS, MAX_EPOCHS, BATCH, RATE, EMBEDDING_RATE = 320, 4, 12, 128, 0.01, 0.001
 #: Input rows of so many distinct words are kept between the pieces of a task.
 CACHED_WORDS = 120_000
+#: Labelled rows of a task that goes on from the first network, and its share of the rates.
+SHARD_ROWS, LATER_RATE = 2048, 0.1
+#: Parts of what shards sum up, and bins of scores (LOW to -LOW) by class.
+PARTS, BINS, LOW = 64, 1024, -32.0
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -245,26 +252,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network
         chosen = np.concatenate([top, other[labels == 0]])
         target = labels[row[chosen]]
         shuffled = r.permutation(len(chosen))
-        for a in range(0, len(chosen), BATCH):
-            pick = shuffled[a : a + BATCH]
-            used, local = np.unique(win[chosen[pick]], return_inverse=True)
-            local = local.reshape(len(pick), WINDOW)
-            real = used[used < len(distinct)]
-            n = sizes[real]
-            sub = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[real], n)
-            sub_ends = np.concatenate([[0], np.cumsum(n)])
-            x = net.inputs(ids[real], grams[sub], sub_ends)
-            logit, kept = net.forward(x, local, keep=True)
-            g, dx = net.gradients(x, local, kept, ((_sigmoid(logit) - target[pick]) / len(pick)).astype(np.float32))
-            g["words"], g["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
-            np.add.at(g["words"], ids[real], dx[:-1, :WORD_DIM])
-            np.add.at(g["chars"], grams[sub], np.repeat(dx[:-1, WORD_DIM:] / np.sqrt(n)[:, None], n, axis=0))
-            step += 1
-            for k, v in g.items():  # Adam
-                m, s = state[k]
-                m += 0.1 * (v - m)
-                s += 0.001 * (v * v - s)
-                net.p[k] -= ((EMBEDDING_RATE if k in ("words", "chars") else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        step = _descend(net, state, step, (ids, grams, ends), win, chosen, target, shuffled)
         x = net.inputs(ids, grams, ends)
         worst = net.score_windows(x, win)
     _calibrate(net, np.maximum.reduceat(worst, starts), labels)
@@ -273,17 +261,68 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network
     return net
 
 
-def _calibrate(net: Network, logit: np.ndarray, labels: np.ndarray) -> None:
+def _descend(net: Network, state: dict, step: int, words: tuple[np.ndarray, np.ndarray, np.ndarray], win: np.ndarray, chosen: np.ndarray, target: np.ndarray, shuffled: np.ndarray, rate: float = 1.0) -> int:
+    """One pass over the chosen windows in batches; the number of steps so far."""
+    ids, grams, ends = words
+    sizes = np.diff(ends)
+    for a in range(0, len(chosen), BATCH):
+        pick = shuffled[a : a + BATCH]
+        used, local = np.unique(win[chosen[pick]], return_inverse=True)
+        local = local.reshape(len(pick), WINDOW)
+        real = used[used < len(ids)]
+        n = sizes[real]
+        sub = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[real], n)
+        sub_ends = np.concatenate([[0], np.cumsum(n)])
+        x = net.inputs(ids[real], grams[sub], sub_ends)
+        logit, kept = net.forward(x, local, keep=True)
+        g, dx = net.gradients(x, local, kept, ((_sigmoid(logit) - target[pick]) / len(pick)).astype(np.float32))
+        g["words"], g["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
+        np.add.at(g["words"], ids[real], dx[:-1, :WORD_DIM])
+        np.add.at(g["chars"], grams[sub], np.repeat(dx[:-1, WORD_DIM:] / np.sqrt(n)[:, None], n, axis=0))
+        step += 1
+        for k, v in g.items():  # Adam
+            m, s = state[k]
+            m += 0.1 * (v - m)
+            s += 0.001 * (v * v - s)
+            net.p[k] -= (rate * (EMBEDDING_RATE if k in ("words", "chars") else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return step
+
+
+def _calibrate(net: Network, logit: np.ndarray, labels: np.ndarray, weight: np.ndarray | float = 1.0) -> None:
     """scale and shift of the logistic curve, by Newton steps with a little ridge."""
     x = np.stack([logit, np.ones_like(logit)], axis=1).astype(np.float64)
     w = np.array([1.0, 0.0])
     for _ in range(30):
         q = _sigmoid(x @ w)
-        grad = x.T @ (q - labels) + 0.1 * (w - [1.0, 0.0])
-        w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+        grad = x.T @ (weight * (q - labels)) + 0.1 * (w - [1.0, 0.0])
+        w -= np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2), grad)
     net.scale, net.shift = max(float(w[0]), 0.05), float(w[1])
 
 
+def tuned(start: Network, texts: list[str | None], labels: np.ndarray, seed: int = 5) -> tuple[Network, np.ndarray]:
+    """start after one pass over the rows' windows, and the rows' numbers by class and bin of their scores.
+
+    A row stands by the window that its words' priors find worst, a negative by any other window too."""
+    net = Network({k: v.copy() for k, v in start.p.items()}, start.scale, start.shift)
+    codes, offsets, distinct = ragged.words(pa.array(texts, pa.large_string()))
+    words = ids, grams, ends = features(distinct)
+    at, row = windows(offsets)
+    win = np.append(codes, len(distinct)).astype(np.int32)[at]
+    del at, codes
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    of_word = np.maximum(net.p["words"][ids, 0], np.maximum.reduceat(net.p["chars"][grams, 0], ends[:-1])) if distinct else np.zeros(0)
+    prior = np.append(np.maximum(of_word - 0.5, 0) ** 2, 0)[win].sum(axis=1)
+    top = np.lexsort((-prior, row))[starts]
+    r = np.random.default_rng(seed)
+    other = starts + (r.random(len(labels)) * np.diff(np.append(starts, len(row)))).astype(np.int64)
+    chosen = np.concatenate([top, other[labels == 0]])
+    state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    _descend(net, state, 0, words, win, chosen, labels[row[chosen]], r.permutation(len(chosen)), LATER_RATE)
+    logit = np.maximum.reduceat(net.score_windows(net.inputs(*words), win), starts)
+    bins = np.clip((logit - LOW) * (BINS / (-2 * LOW)), 0, BINS - 1).astype(np.int64)
+    return net, np.bincount(bins + BINS * (labels > 0), minlength=2 * BINS)
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -293,10 +332,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     return _different(sampled(docs, labels, text, doc_id, label).toArrow().to_pylist())
 
 
+def _labelled(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """doc_id, y (1 if any of its labels is positive) of the ids that are not held out."""
+    of = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id")))
+    return of.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """doc_id, text, y of the sample: MAX_POSITIVE + MAX_NEGATIVE rows at most."""
-    of = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("doc_id")))
-    one = of.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    one = _labelled(labels, doc_id, label)
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = one.where("y = 1").orderBy(*by).limit(MAX_POSITIVE).unionByName(one.where("y = 0").orderBy(*by).limit(MAX_NEGATIVE))
     # At most MAX_POSITIVE + MAX_NEGATIVE rows of two numbers, and one text for each: bounded whatever the input repeats.
@@ -312,7 +356,7 @@ def _different(found: list[dict]) -> tuple[list[str | None], np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Network | float:
-    """train() on the bounded sample inside one task: the driver gets the fitted arrays alone."""
+    """train() on the bounded sample inside one task, then, if more rows are labelled, refined() on all: the driver gets the fitted arrays alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = train(*_different([r for batch in batches for r in batch.to_pylist()]))
@@ -321,7 +365,46 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     rows = sampled(docs, labels, text, doc_id, label)
     made = work.map_arrow(rows.repartition(1), run, "model binary").first()
-    return pickle.loads(made["model"]) if made else train([], np.zeros(0))
+    model = pickle.loads(made["model"]) if made else train([], np.zeros(0))
+    one = work.save(_labelled(labels, doc_id, label), "labelled")
+    n = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
+    if isinstance(model, float) or (n.get(1, 0) <= MAX_POSITIVE and n.get(0, 0) <= MAX_NEGATIVE):
+        return model
+    return refined(model, docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(one, "doc_id"), sum(n.values()))
+
+
+def refined(start: Network, rows: DataFrame, n_rows: int) -> Network:
+    """The mean of what shards of all rows (doc_id, text, y) make of a network, by their rows; equal texts count once, with the label of the least id."""
+    shared = rows.sparkSession.sparkContext.broadcast(start)
+    names = sorted(start.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["h1"], r["h2"]))
+        if not found:
+            return
+        net, seen = tuned(shared.value, [r["text"] for r in found], np.array([r["y"] for r in found], dtype=np.float64))
+        flat = np.concatenate([len(found) * net.p[k].reshape(-1).astype(np.float64) for k in names] + [seen])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS)), pa.array([x.astype(np.float32).tobytes() for x in np.array_split(flat, PARTS)], pa.binary())], ["part", "sums"])
+        ragged.release()
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py(), dtype=np.float32) for x in group["sums"]], axis=0, dtype=np.float64)
+        return pa.table({"part": group["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    keyed = rows.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "doc_id", "y", "text")
+    once = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "y", "text")).alias("r")).select("h1", "h2", "r.y", "r.text")
+    shards = once.repartition(max(1, -(-n_rows // SHARD_ROWS)), "h1", "h2")
+    out = work.map_arrow(shards, run, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").toArrow().sort_by("part")
+    if not out.num_rows:
+        return start
+    flat = np.concatenate([np.frombuffer(x.as_py(), dtype=np.float64) for x in out["sums"]])
+    ends = np.cumsum([start.p[k].size for k in names])
+    seen = flat[ends[-1] :].reshape(2, BINS)
+    mean = np.split(flat[: ends[-1]] / seen.sum(), ends[:-1])
+    net = Network({k: x.reshape(start.p[k].shape).astype(np.float32) for k, x in zip(names, mean, strict=True)}, start.scale, start.shift)
+    y, at = np.nonzero(seen)
+    _calibrate(net, LOW + (at + 0.5) * (-2 * LOW / BINS), y.astype(np.float64), seen[y, at])
+    return net
 
 
 def score(docs: DataFrame, model: Network | float, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -539,3 +539,34 @@ def test_pipeline_of_odd_inputs(spark, tmp_path):
 
 def test_registered_queries():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
+
+
+def test_fit_learns_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 10)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 20)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 64)
+    r = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(r.choice(words, 60)) + (" vile" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(300)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    inside = {x.doc_id for x in toxicity.sampled(docs, labels).collect()}
+    assert len(inside) == 30
+    model, again = toxicity.fit(docs, labels), toxicity.fit(docs, labels)
+    assert all(np.allclose(model.p[k], again.p[k], atol=1e-6) for k in model.p)
+    # Rows that are not in the first sample count: their words move, and so do the scores.
+    other = docs.withColumn("text", F.when(F.col("doc_id").isin(*inside), F.col("text")).otherwise("quite other words"))
+    changed = toxicity.fit(other, labels)
+    assert not np.allclose(model.p["words"], changed.p["words"], atol=1e-6) and abs(model.shift - changed.shift) > 1e-3
+    p = model.probability(model.score_texts(pa.array([x[1] for x in rows])))
+    assert abs(p.mean() - 1 / 3) < 0.05
+
+
+def test_basis_comes_from_all_passages(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "FIT_DOCS", 8)
+    docs = spark.createDataFrame([(k, " ".join(f"d{k}w{j}" for j in range(12))) for k in range(120)], "doc_id long, text string")
+    n, df = decontam.weights.frequencies(docs)
+    basis = decontam.fit(docs, n, decontam.weights.idf(n, df))
+    h, _ = decontam.ragged.hashed(pa.array([" ".join(f"d{k}w{j}" for j in range(12)) for k in range(120)]))
+    assert basis.shape == (decontam.TERMS, decontam.RANK) and np.isfinite(basis).all()
+    outside = np.abs(basis[decontam.term(h)]).max(axis=1) < 1e-6
+    assert outside.mean() < 0.05
