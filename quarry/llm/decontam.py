@@ -38,6 +38,8 @@ TERMS, RANK, EXTRA, ROUNDS = 1 << 15, 48, 8, 2
 FIT_DOCS, FIT_DOCS_A_TASK = 3000, 1000
 #: Documents of one of the tasks that sum over all of them, and the most such tasks (but one a core): each hands on sums of the size of the basis.
 DOCS_A_TASK, MOST_TASKS = 20_000, 256
+#: Bytes of text whose passages are summed at once: their vectors stay near the processor.
+GRAM_BYTES = 250_000
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.88, 0.7, 0.5
 MIN_WORDS = 4
 #: Each benchmark window lies in this many clusters, the nearest; a document window looks into one.  Those of short items lie in more.
@@ -76,6 +78,56 @@ def passages(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- the latent space
 
 
+def add_runs(total: np.ndarray, keys: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> None:
+    """Adds vectors[at[i]] to total[keys[i]], for ascending keys: the rows of a key are added up in pairs, again and again."""
+    begin = np.flatnonzero(np.diff(keys, prepend=-1))
+    n, key = np.diff(np.append(begin, len(keys))), keys[begin]
+    while len(n):
+        done = n == 1
+        total[key[done]] += vectors.take(at[begin[done]], axis=0)
+        begin, n, key = begin[~done], n[~done], key[~done]
+        half = (n + 1) // 2
+        ends = np.cumsum(half)
+        left = np.arange(half.sum()) * 2 + np.repeat(begin - 2 * (ends - half), half)
+        pair = np.flatnonzero(left + 1 < np.repeat(begin + n, half))
+        x = vectors.take(at[left], axis=0)
+        if len(pair) == len(x):
+            x += vectors.take(at[left + 1], axis=0)
+        else:
+            x[pair] += vectors.take(at[left[pair] + 1], axis=0)
+        vectors, at, begin, n = x, np.arange(len(x)), ends - half, half
+
+
+def add_passages(total: np.ndarray, h: np.ndarray, offsets: np.ndarray, weight: np.ndarray, table: np.ndarray) -> None:
+    """Adds, for the unit-length TF-IDF passages of a piece, its share of A'A basis to total by bucket, but for the words' own weights; table: word_vectors of the basis."""
+    b = weights.bucket(h)
+    # Of a block: the sum of its words' vectors, and of their squared weights; a passage is two of them, or a row's only one.
+    start, ends = blocks(offsets)
+    size = np.diff(np.append(start, len(h)))
+    sums = project(h, start, start + size, table)
+    squares = np.add.reduceat(weight[b] ** 2, start)
+    first, stop, _ = passages(offsets)
+    one = np.searchsorted(start, first)
+    more = np.flatnonzero(stop - first > STRIDE)
+    two = one[more] + 1
+    seen, norm = sums.take(one, axis=0), squares[one]
+    seen[more] += sums.take(two, axis=0)
+    norm[more] += squares[two]
+    seen /= norm[:, None]
+    back = np.zeros_like(sums)
+    back[one] = seen
+    back[two] += seen.take(more, axis=0)
+    # By bucket: sorts of 16 bits count instead of comparing.
+    order = np.argsort((b & 0xFFFF).astype(np.uint16), kind="stable")
+    order = order[np.argsort((b[order] >> 16).astype(np.uint16), kind="stable")]
+    add_runs(total, b[order], back, np.repeat(np.arange(len(size)), size)[order])
+
+
+def folded(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The sums by bucket, times the words' weights, as sums by term."""
+    return np.sum((weight[:, None] * total).reshape(-1, TERMS, total.shape[1]), axis=0, dtype=np.float32)
+
+
 def _gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A'A basis over the TF-IDF passages A of the rows, summed in blocks of terms."""
     shared = rows.sparkSession.sparkContext.broadcast((basis.astype(np.float32), idf))
@@ -83,33 +135,14 @@ def _gram(rows: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, weight = shared.value
-        total = np.zeros((TERMS, width), dtype=np.float32)
+        table = word_vectors(weight, q)
+        total = np.zeros((weights.BUCKETS, width), dtype=np.float32)
         for batch in batches:
-            for piece in ragged.pieces(batch):
+            for piece in ragged.pieces(batch, limit=GRAM_BYTES):
                 h, offsets = ragged.hashed(piece.column("text"))
-                if not len(h):
-                    continue
-                w, t = weight[weights.bucket(h)], term(h)
-                # Of a block: the sum of its words' vectors, and of their squared weights; a passage is two of them, or a row's only one.
-                start, ends = blocks(offsets)
-                size = np.diff(np.append(start, len(h)))
-                sums = np.add.reduceat(w[:, None] * q[t], start, axis=0)
-                squares = np.add.reduceat(w**2, start)
-                first, stop, _ = passages(offsets)
-                one = np.searchsorted(start, first)
-                two = one[stop - first > STRIDE]
-                seen, norm = sums[one], squares[one]
-                seen[stop - first > STRIDE] += sums[two + 1]
-                norm[stop - first > STRIDE] += squares[two + 1]
-                seen /= norm[:, None]
-                back = np.zeros_like(sums)
-                back[one] = seen
-                back[two + 1] += seen[stop - first > STRIDE]
-                order = np.argsort(t, kind="stable")
-                terms = t[order]
-                begin = np.flatnonzero(np.diff(terms, prepend=-1))
-                block = np.repeat(np.arange(len(size)), size)[order]
-                total[terms[begin]] += np.add.reduceat(w[order][:, None] * back[block], begin, axis=0)
+                if len(h):
+                    add_passages(total, h, offsets, weight, table)
+        total = folded(total, weight)
         rows_per = TERMS // parts
         yield pa.RecordBatch.from_arrays([pa.array(range(parts)), pa.array([total[k * rows_per : (k + 1) * rows_per].tobytes() for k in range(parts)])], ["part", "sums"])
 
@@ -167,9 +200,9 @@ def word_vectors(idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
 def project(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sums of word vectors over blocks of up to STRIDE words."""
     b = np.append(weights.bucket(h), weights.BUCKETS)
-    out = table[b[starts]]
+    out = table.take(b[starts], axis=0)
     for k in range(1, STRIDE):
-        out += table[b[np.where(starts + k < stops, starts + k, len(h))]]
+        out += table.take(b[np.where(starts + k < stops, starts + k, len(h))], axis=0)
     return out
 
 
@@ -251,7 +284,8 @@ def candidates(vectors: np.ndarray, q: Items, threshold: float | None = None) ->
     for k, m in enumerate(q.members):
         mine = order[edge[k] : edge[k + 1]]
         for a in range(0, len(mine), 20_000):
-            x, y = np.nonzero(vectors[mine[a : a + 20_000]] @ q.vectors[m].T >= (q.least[m] if threshold is None else threshold))
+            # Few pass, and their flat positions are found faster than pairs.
+            x, y = np.divmod(np.flatnonzero(vectors[mine[a : a + 20_000]] @ q.vectors[m].T >= (q.least[m] if threshold is None else threshold)), max(1, len(m)))
             left.append(mine[a : a + 20_000][x])
             right.append(m[y])
     return np.concatenate(left), np.concatenate(right)
@@ -298,7 +332,9 @@ def matches(h: np.ndarray, offsets: np.ndarray, q: Items, table: np.ndarray) ->
     # Windows that share fewer than COMMON different words cannot pass the next test but for repeated words.
     own = np.zeros(len(first), dtype=np.uint64)
     if len(left):
-        used = np.unique(left)
+        seen = np.zeros(len(first), dtype=bool)
+        seen[left] = True
+        used = np.flatnonzero(seen)
         span = np.minimum(first[used][:, None] + np.arange(WINDOW), stop[used][:, None] - 1)
         own[used] = bits_of(h[span])
         some = np.bitwise_count(own[left] & q.bits[right]) >= np.minimum(COMMON, np.bitwise_count(q.bits[right]))
