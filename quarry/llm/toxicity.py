@@ -22,8 +22,7 @@ memory is bounded by one piece of a batch; only a single text can exceed that.
 from __future__ import annotations
 
 import pickle
-import re
-from array import array
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,24 +43,93 @@ MAX_POSITIVE, MAX_NEGATIVE = 700, 1400
 STEPS, MIN_EPOCHS, MAX_EPOCHS, BATCH, RATE, EMBEDDING_RATE = 320, 4, 12, 128, 0.01, 0.001
 #: Input rows of so many distinct words are kept between the pieces of a task.
 CACHED_WORDS = 120_000
+#: Words whose n-grams are hashed at once.
+WORDS_AT_ONCE = 20_000
 #: Labelled rows of a task that goes on from the first network, and its share of the rates.
 SHARD_ROWS, LATER_RATE = 2048, 0.1
 #: Parts of what shards sum up, and bins of scores (LOW to -LOW) by class.
 PARTS, BINS, LOW = 64, 1024, -32.0
 THRESHOLD = 0.3
-_EDGES = re.compile(r"^\W+|\W+$")
+
+
+#: By code point: 0 where not looked up yet, 1 if no word character, 2 if one (as \w has them).
+_kinds = np.zeros(sys.maxunicode + 1, dtype=np.int8)
+
+
+def _in_words(chars: np.ndarray) -> np.ndarray:
+    """Which code points are word characters."""
+    fresh = np.unique(chars[_kinds[chars] == 0])
+    _kinds[fresh] = [2 if chr(c).isalnum() or c == ord("_") else 1 for c in fresh.tolist()]
+    return _kinds[chars] == 2
 
 
 def features(distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket, flat n-gram buckets and their offsets for each distinct word."""
-    ids, grams, ends = np.empty(len(distinct), dtype=np.int32), array("i"), array("q", [0])
-    for i, w in enumerate(distinct):
-        w = _EDGES.sub("", w)
-        ids[i] = xxhash.xxh64_intdigest(w) % WORD_BUCKETS
-        marked = f"<{w}>"
-        grams.extend([xxhash.xxh32_intdigest(marked[k : k + g]) % CHAR_BUCKETS for g in GRAMS for k in range(len(marked) - g + 1)] if w else [0])
-        ends.append(len(grams))
-    return ids, np.frombuffer(grams, dtype=np.int32) if grams else np.zeros(0, np.int32), np.frombuffer(ends, dtype=np.int64)
+    """Word bucket, flat n-gram buckets and their offsets for each distinct word, without what is no word character at its ends."""
+    parts = [_features(distinct[a : a + WORDS_AT_ONCE]) for a in range(0, max(1, len(distinct)), WORDS_AT_ONCE)]
+    ids, grams, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return ids, grams, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _features(distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of some words, with their numbers of n-grams; the n-grams are hashed together, so that none becomes a Python object."""
+    n_words = len(distinct)
+    chars = np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32)
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, distinct), dtype=np.int64, count=n_words))])
+    inner = np.flatnonzero(_in_words(chars))
+    at = np.searchsorted(inner, offsets)
+    some = np.diff(at) > 0
+    first, size = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    first[some] = inner[at[:-1][some]]
+    size[some] = inner[at[1:][some] - 1] + 1 - first[some]
+    # <word> after <word>, as code points and as bytes.
+    wide = size + 2
+    begin = np.cumsum(wide) - wide
+    marked = np.full(wide.sum() + max(GRAMS), ord(">"), dtype=np.uint32)
+    marked[begin] = ord("<")
+    marked[np.arange(size.sum()) + np.repeat(begin + 1 - (np.cumsum(size) - size), size)] = chars[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+    raw = marked.tobytes().decode("utf-32-le").encode()
+    start = np.concatenate([[0], np.cumsum(1 + (marked >= 0x80) + (marked >= 0x800) + (marked >= 0x10000))])
+    cuts = zip(start[begin + 1].tolist(), start[begin + 1 + size].tolist(), strict=True)
+    ids = (np.fromiter((xxhash.xxh64_intdigest(raw[i:j]) for i, j in cuts), dtype=np.uint64, count=n_words) % np.uint64(WORD_BUCKETS)).astype(np.int32)
+    n = np.maximum(wide[:, None] - np.array(GRAMS) + 1, 0)
+    n[~some] = [1, *[0] * (len(GRAMS) - 1)]  # bucket 0, where nothing is left
+    n = n.ravel()
+    ends = np.concatenate([[0], np.cumsum(n)])
+    c = np.arange(ends[-1]) + np.repeat(np.repeat(begin, len(GRAMS)) - ends[:-1], n)
+    grams = _xxh32(raw, start.take(c), start.take(c + np.repeat(np.tile(GRAMS, n_words), n)))
+    ends = ends[:: len(GRAMS)]
+    grams[ends[:-1][~some]] = 0
+    return ids, grams, np.diff(ends)
+
+
+def _xxh32(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The CHAR_BUCKETS of raw[start:stop], by xxh32; those of one length together, over 15 bytes one by one."""
+    p1, p2, p3, p4, p5 = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    data = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+    four = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+    data *= p5
+    four *= p3
+    width, out = (stop - start).astype(np.uint8), np.empty(len(start), np.int32)
+    for w in np.flatnonzero(np.bincount(width)).tolist():
+        at = np.flatnonzero(width == w)
+        s = start[at]
+        if w > 15:
+            out[at] = [xxhash.xxh32_intdigest(raw[i : i + w]) % CHAR_BUCKETS for i in s.tolist()]
+            continue
+        h, k = np.full(len(s), p5 + np.uint32(w)), 0
+        while k + 4 <= w:
+            h += four.take(s + k)
+            h = (h << np.uint32(17) | h >> np.uint32(15)) * p4
+            k += 4
+        for j in range(k, w):
+            h += data.take(s + j)
+            h = (h << np.uint32(11) | h >> np.uint32(21)) * p1
+        h ^= h >> np.uint32(15)
+        h *= p2
+        h ^= h >> np.uint32(13)
+        h *= p3
+        out[at] = (h ^ h >> np.uint32(16)) % np.uint32(CHAR_BUCKETS)
+    return out
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
